@@ -51,3 +51,30 @@ def one_thread() -> None:
 
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
         os.environ.setdefault(name, "1")
+
+
+def map_batches(df: DataFrame, keep: list[str], inputs: list[Column], schema: str, make, rows: int = 512) -> DataFrame:
+    """df's columns keep, and behind them the columns of schema that make(*inputs) returns.
+
+    make gets pyarrow arrays of at most rows rows and returns one sequence for each column of schema. It runs in
+    Python workers on Arrow batches; a slice at a time bounds the memory, whatever the size of a batch."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    made = StructType.fromDDL(schema) if hasattr(StructType, "fromDDL") else df.sparkSession.createDataFrame([], schema).schema
+    kept, k = df.select(*keep).schema, len(keep)
+    out = StructType(kept.fields + made.fields)
+
+    def run(batches):
+        arrow = to_arrow_schema(out)
+        types = [arrow.field(i).type for i in range(len(arrow))]
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)  # never empty
+                new = make(*part.columns[k:])
+                cols = [part.column(i).cast(types[i]) for i in range(k)] + [pa.array(x, types[k + i]) for i, x in enumerate(new)]
+                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+    # Inputs get names of their own, as keep may hold the same columns.
+    return df.select(*keep, *[c.alias(f"__in{i}") for i, c in enumerate(inputs)]).mapInArrow(run, out)
