@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rivulet.llm import bpe
-from rivulet.llm.common import table
+from rivulet.llm import bpe, qda, rules
+from rivulet.llm.common import fold, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL for the same rows, where SQL can express the operator.
@@ -23,3 +24,22 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, and what they decode to, as digests."""
     return bpe.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document, learned from labelled rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    stats = materialise(qda.features(docs, ["doc_id"]))
+    train = stats.filter(fold(F.col("doc_id"), 4) != 2).join(labels, "doc_id")
+    model = qda.fit(train, F.col("x"), F.col("label"))
+    scored = qda.score(stats, ["doc_id"], model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the quality rules on every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return rules.judge(docs, ["doc_id"], rules.references(docs))
