@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, qda, rules
+from rivulet.llm import bpe, qda, rules, simhash
 from rivulet.llm.common import fold, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,12 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the quality rules on every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return rules.judge(docs, ["doc_id"], rules.references(docs))
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    prints = materialise(simhash.fingerprints(docs, ["doc_id"], simhash.EXACT))
+    found = simhash.classes(prints, simhash.EXACT)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
