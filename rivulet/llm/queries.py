@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, qda, rules, simhash
+from rivulet.llm import bpe, mixing, qda, rules, simhash, urls
 from rivulet.llm.common import fold, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialise(simhash.fingerprints(docs, ["doc_id"], simhash.EXACT))
     found = simhash.classes(prints, simhash.EXACT)
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of every page's URL."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    return urls.judge(pages, ["page_id"], urls.learn(pages))
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    mix = mixing.mix(docs, {"doc_id": F.col("doc_id")})
+    words = F.coalesce(F.col("hi") - F.col("lo"), F.lit(0))
+    taken = mix.spans("doc_id").groupBy("doc_id", "sid", "start", "size").agg(F.sum(words).alias("taken"), F.count("*").alias("n"))
+    # Documents without words share their place with others, and so may be several in a group.
+    each = taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("size") == 0, F.col("n")).otherwise(1))))
+    return each.join(mix.table(), "sid").select("doc_id", "size", "source_size", "target", "taken")
