@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, mixing, qda, rules, simhash, urls
+from rivulet.llm import bpe, digests, mixing, qda, rules, secrets, simhash, urls
 from rivulet.llm.common import fold, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,22 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Documents without words share their place with others, and so may be several in a group.
     each = taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("size") == 0, F.col("n")).otherwise(1))))
     return each.join(mix.table(), "sid").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        *[secrets.count(base, kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op4_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return digests.compare(table(spark, sf_dir, "documents", "doc_id", "text"))
