@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, digests, mixing, qda, rules, secrets, simhash, urls
+from rivulet.llm import bpe, digests, langid, mixing, qda, rules, secrets, simhash, toxicity, urls
 from rivulet.llm.common import fold, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,22 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     return digests.compare(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document, learned from labelled rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.learn(docs, labels.filter(fold(F.col("doc_id"), 3) != 1))
+    scored = toxicity.score(docs, ["doc_id"], model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the languages given outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.learn(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    labelled = langid.label(docs, ["doc_id"], model)
+    return labelled.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
