@@ -77,7 +77,7 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def _mix(h: np.ndarray, lane: int) -> np.ndarray:
-    h = h + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)
+    h = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return h ^ h >> np.uint64(31)
