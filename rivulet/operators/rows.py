@@ -57,9 +57,10 @@ def filtered(st: State, x, search: bool) -> State:
 def semi(st: State, x: In) -> DataFrame:
     """Rows whose value is, or is not, in the one column of a subsearch: a semi or anti join on the folded text."""
     sub = st.engine.compile(x.query, st)
-    if len(sub.df.columns) != 1:
-        raise QueryError(f"a subsearch of IN returns one column, not {len(sub.df.columns)}")
-    values = sub.df.select(fold(q(sub.df.columns[0]).cast("string")).alias("__in")).filter("__in is not null").distinct().limit(IN_CAP)
+    names = [c for c in sub.df.columns if not c.startswith("__")]
+    if len(names) != 1:
+        raise QueryError(f"a subsearch of IN returns one column, not {len(names)}")
+    values = sub.ordered().select(fold(q(names[0]).cast("string")).alias("__in")).filter("__in is not null").distinct().limit(IN_CAP)
     left = st.df.withColumn("__key", fold(st.scope().compile(x.value).string()))
     if x.negated:  # a null is neither in nor not in
         return left.filter("__key is not null").join(F.broadcast(values), F.col("__key") == F.col("__in"), "left_anti").drop("__key")

@@ -3,14 +3,144 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.engine import events_engine
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+NOW = datetime(2024, 2, 1)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.count("*").alias("count"))
+    return events_engine(spark, sf_dir, now=NOW).run("event_type IN (error, purchase) | stats count, dc(user_id) as users, avg(value) as mean by event_type | sort -count | head 10")
+
+
+def piped(name: str, text: str, sql: str | None, start: datetime | None = None, end: datetime | None = None) -> None:
+    """Registers a query of the language, and the SQL for the same rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return events_engine(spark, sf_dir, now=NOW).run(text, start, end)
+
+    run.__name__ = name
+    QUERIES[name] = run
+    if sql:
+        ORACLE[name] = sql
+
+
+R = "round({}, 4)".format
+JAN10, JAN20 = datetime(2024, 1, 10), datetime(2024, 1, 20)
+
+# -- scans and search -----------------------------------------------------------------------------------------
+piped("search_equals", "event_type=PURCHASE | table event_id, user_id, value", "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase'")
+piped("search_window", "* | stats count by event_type", "SELECT event_type, count(*) AS count FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1", JAN10, JAN20)
+piped("search_time_modifiers", "earliest=-14d@d latest=-7d | stats count as n", "SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-18' AND ts < TIMESTAMP '2024-01-25'")
+piped("search_or_before_and", "event_type=view OR event_type=click value>100 NOT user_id=7 | table event_id", "SELECT event_id FROM events WHERE event_type IN ('view', 'click') AND value > 100 AND user_id <> 7")
+piped("search_glob", "event_type=*i* event_type!=si?nup | stats count by event_type", "SELECT event_type, count(*) AS count FROM events WHERE event_type LIKE '%i%' AND NOT event_type LIKE 'si_nup' GROUP BY 1")
+piped("search_keyword", "dataset=documents license MIT | table doc_id", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])license([^a-z0-9]|$)') AND regexp_matches(lower(text), '(^|[^a-z0-9])mit([^a-z0-9]|$)')")
+piped("search_keyword_wildcard", "dataset=documents licens* | table doc_id", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])licens\\S*($|[^a-z0-9])')")
+piped("search_substring", "dataset=documents *ththat* | stats count by lang", "SELECT lang, count(*) AS count FROM documents WHERE contains(lower(text), 'ththat') GROUP BY 1")
+piped("search_regex", "dataset=pages url=/example\\.(com|net)\\/en/ | table page_id", "SELECT page_id FROM pages WHERE regexp_matches(url, 'example\\.(com|net)/en')")
+piped("search_in_list", "user_id IN (1, 2, 3) event_type NOT IN (view) | table event_id", "SELECT event_id FROM events WHERE user_id IN (1, 2, 3) AND event_type <> 'view'")
+piped("search_in_subsearch", "user_id IN [search event_type=error value>150 | dedup user_id | fields user_id] | stats count by user_id", "SELECT user_id, count(*) AS count FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150) GROUP BY 1")
+piped("search_not_in_subsearch", "user_id NOT IN [search event_type=error value>150 | dedup user_id | fields user_id] | stats count as n", "SELECT count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)")
+piped("search_contains", "dataset=pages url CONTAINS casino OR url ENDSWITH \".html\" | table page_id", "SELECT page_id FROM pages WHERE contains(lower(url), 'casino') OR ends_with(lower(url), '.html')")
+piped("search_computed", "value * 2 > 300 | stats count as n", "SELECT count(*) AS n FROM events WHERE value * 2 > 300")
+piped("search_existence", "k=* NOT missing=* | stats count as n", "SELECT count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND json_extract_string(props, '$.missing') IS NULL")
+piped("search_ioc", "dataset=pages ioc in [\"http://none\", \"x\"] OR page_id<5 | table page_id", "SELECT page_id FROM pages WHERE page_id < 5")
+piped("json_tail_field", "k>50 | stats count by event_type", "SELECT event_type, count(*) AS count FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50 GROUP BY 1")
+
+# -- row-local stages -----------------------------------------------------------------------------------------
+piped("where_and_or", "* | where event_type=\"view\" OR value > 100 AND user_id < 10 | stats count as n", "SELECT count(*) AS n FROM events WHERE event_type = 'view' OR (value > 100 AND user_id < 10)")
+piped("where_searchmatch", "* | where searchmatch(\"event_type=v* OR event_type=click\") | stats count as n", "SELECT count(*) AS n FROM events WHERE event_type LIKE 'v%' OR event_type = 'click'")
+piped("regex_stage", "* | regex event_type=\"^(view|error)$\" | stats count as n", "SELECT count(*) AS n FROM events WHERE event_type IN ('view', 'error')")
+piped("eval_chain", "* | eval a=value*2, b=a+1, c=if(b>100,\"hi\",\"lo\"), d=case(value<10,1,value<100,2,3) | table event_id a b c d", "SELECT event_id, value * 2 AS a, value * 2 + 1 AS b, CASE WHEN value * 2 + 1 > 100 THEN 'hi' ELSE 'lo' END AS c, CASE WHEN value < 10 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END AS d FROM events")
+piped("eval_strings", "* | eval u=upper(event_type), s=substr(event_type,1,3), l=len(event_type), c=event_type.\"-\".user_id, r=replace(event_type,\"e\",\"3\"), v=reverse(event_type), p=event_type+\"_x\" | table event_id u s l c r v p", "SELECT event_id, upper(event_type) AS u, substr(event_type, 2, 3) AS s, length(event_type) AS l, event_type || '-' || user_id AS c, replace(event_type, 'e', '3') AS r, reverse(event_type) AS v, event_type || '_x' AS p FROM events")
+piped("eval_math", "* | eval a=round(value,1), b=ceil(value), c=floor(value), d=abs(0-value), e=round(sqrt(value),4), f=round(pow(value,2),2), g=value/0, h=user_id%7, i=max(value,50), j=min(value,50) | table event_id a b c d e f g h i j", "SELECT event_id, round(value, 1) AS a, CAST(ceil(value) AS BIGINT) AS b, CAST(floor(value) AS BIGINT) AS c, value AS d, round(sqrt(value), 4) AS e, round(value * value, 2) AS f, CAST(NULL AS DOUBLE) AS g, user_id % 7 AS h, greatest(value, 50) AS i, least(value, 50) AS j FROM events")
+piped("eval_dates", "* | eval y=year(ts), m=month(ts), w=dayofweek(ts), h=date_trunc(\"hour\",ts), e=epoch(ts), f=strftime(ts,\"%Y-%m-%d %H:%M\"), d=date_diff(\"day\",ts,to_timestamp(\"2024-02-01\")), r=relative_time(ts,\"-1d@d\"), q=quarter(ts) | table event_id y m w h e f d r q", "SELECT event_id, CAST(year(ts) AS INT) AS y, CAST(month(ts) AS INT) AS m, CAST(isodow(ts) AS INT) AS w, date_trunc('hour', ts) AS h, CAST(floor(epoch(ts)) AS BIGINT) AS e, strftime(ts, '%Y-%m-%d %H:%M') AS f, CAST(floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000) AS BIGINT) AS d, CAST(date_trunc('day', ts - INTERVAL 1 DAY) AS TIMESTAMP) AS r, CAST(quarter(ts) AS INT) AS q FROM events")
+piped("eval_conversion", "* | eval a=tonumber(props), b=tonumber(\"12.5\"), c=toint(value), d=tostring(user_id), e=isnum(event_type), f=isnull(nothing), g=coalesce(nothing,event_type), h=typeof(value), i=nullif(event_type,\"view\") | table event_id a b c d e f g h i", "SELECT event_id, CAST(NULL AS DOUBLE) AS a, 12.5::DOUBLE AS b, CAST(trunc(value) AS BIGINT) AS c, CAST(user_id AS VARCHAR) AS d, false AS e, true AS f, event_type AS g, 'Number' AS h, nullif(event_type, 'view') AS i FROM events")
+piped("eval_hashes", "* | eval a=md5(event_type), b=sha1(event_type), c=sha256(event_type), d=base64_encode(event_type), e=base64_decode(d), f=hex_encode(event_type), g=hex_decode(f), h=url_encode(\"a b&c\"), i=url_decode(h) | table event_id a b c d e f g i", "SELECT event_id, md5(event_type) AS a, sha1(event_type) AS b, sha256(event_type) AS c, base64(encode(event_type)) AS d, event_type AS e, lower(hex(event_type)) AS f, event_type AS g, 'a b&c' AS i FROM events")
+piped("eval_security", "* | eval a=levenshtein(event_type,\"view\"), b=round(entropy(event_type),6), c=round(levenshtein_normalized(event_type,\"view\"),4) | stats count by event_type a b c", "SELECT event_type, levenshtein(event_type, 'view') AS a, round((SELECT -sum(n * 1.0 / t * log2(n * 1.0 / t)) FROM (SELECT count(*) AS n, length(e.event_type) AS t FROM (SELECT unnest(string_split(e.event_type, '')) AS ch) GROUP BY ch)), 6) AS b, round(levenshtein(event_type, 'view') * 1.0 / greatest(length(event_type), 4), 4) AS c, count AS count FROM (SELECT event_type, count(*) AS count FROM events GROUP BY 1) e")
+piped("eval_ip", "* | eval ip=int_to_ipv4(user_id*16777216+event_id), n=ipv4_to_int(ip), p=is_private_ip(ip), c=cidrmatch(\"10.0.0.0/8\",ip), q=is_public_ip(ip) | table event_id n p c q", "SELECT event_id, user_id * 16777216 + event_id AS n, user_id = 10 AS p, user_id = 10 AS c, NOT user_id IN (0, 10, 127) AND user_id < 224 AS q FROM events WHERE user_id < 256 UNION ALL SELECT event_id, NULL, false, NULL, false FROM events WHERE user_id >= 256")
+piped("eval_urls", "dataset=pages | eval d=extract_domain(url), t=extract_tld(url), p=extract_path(url), r=extract_root_domain(url), n=domain_depth(url), f=defang(url), g=refang(f) | table page_id d t p r n g", "SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS d, regexp_extract(url, '://[^/?#]*\\.([a-z]+)', 1) AS t, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '([a-z0-9-]+\\.[a-z]+)(?:[/?#]|$)', 1) AS r, len(string_split(regexp_extract(url, '://([^/?#]*)', 1), '.')) AS n, url AS g FROM pages")
+piped("eval_arrays", "dataset=pages | eval a=split(url,\"/\"), n=mvcount(a), f=mvindex(a,0), l=mvindex(a,-1), j=mvjoin(a,\"|\"), h=has(a,\"EXAMPLE\"), k=mvcount(mvdedup(a)) | table page_id n f l j h k", "SELECT page_id, len(string_split(url, '/')) AS n, string_split(url, '/')[1] AS f, string_split(url, '/')[-1] AS l, replace(url, '/', '|') AS j, contains(lower(url), 'example') AS h, len(list_distinct(string_split(url, '/'))) AS k FROM pages")
+piped("eval_matching", "* | eval a=like(event_type,\"V%\"), b=match(event_type,\"^v.e\"), c=exact(event_type,\"view\"), d=in(event_type,\"VIEW\",\"click\"), e=regex_extract(props,\"(\\d+)\"), f=regex_replace(event_type,\"[aeiou]\",\"*\") | table event_id a b c d e f", "SELECT event_id, event_type LIKE 'v%' AS a, event_type = 'view' AS b, event_type = 'view' AS c, event_type IN ('view', 'click') AS d, regexp_extract(props, '(\\d+)', 1) AS e, regexp_replace(event_type, '[aeiou]', '*', 'g') AS f FROM events")
+piped("rename_moves", "* | rename event_type as kind, user_id as u | stats count by kind", "SELECT event_type AS kind, count(*) AS count FROM events GROUP BY 1")
+piped("table_globs", "* | table event_*, value as v", "SELECT event_id, event_type, value AS v FROM events")
+piped("fields_drop", "* | fields - props, ts", "SELECT event_id, user_id, event_type, value FROM events")
+piped("fields_keep", "* | fields user*, value", "SELECT user_id, value FROM events")
+piped("fillnull_stage", "* | eval x=if(value>100,value,null()) | fillnull value=\"none\" x | stats count by x", "SELECT CASE WHEN value > 100 THEN CAST(value AS VARCHAR) ELSE 'none' END AS x, count(*) AS count FROM events GROUP BY 1")
+piped("rex_stage", "* | rex field=props '\"k\":\\s*(?<k_val>\\d+)' | stats count by k_val", "SELECT regexp_extract(props, '\"k\":\\s*(\\d+)', 1) AS k_val, count(*) AS count FROM events GROUP BY 1")
+piped("rex_sed", "dataset=pages | rex field=url mode=sed \"s/https?:/x:/g\" | table page_id url", "SELECT page_id, regexp_replace(url, 'https?:', 'x:', 'g') AS url FROM pages")
+piped("spath_stage", "* | spath input=props path=k output=kk | stats count by kk", "SELECT json_extract_string(props, '$.k') AS kk, count(*) AS count FROM events GROUP BY 1")
+piped("bin_time", "* | bin ts span=6h as slot | stats count by slot", "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS slot, count(*) AS count FROM events GROUP BY 1")
+piped("bin_week", "* | bin span=1w | stats count by time_bucket", "SELECT date_trunc('week', ts + INTERVAL 1 DAY) - INTERVAL 1 DAY AS time_bucket, count(*) AS count FROM events GROUP BY 1")
+piped("bin_number", "* | bin value span=25 as b | stats count by b", "SELECT CAST(floor(value / 25) * 25 AS BIGINT) AS b, count(*) AS count FROM events GROUP BY 1")
+piped("bin_hop", "* | bin ts span=1d hop=12h as w | stats count by w", "SELECT w, count(*) AS count FROM (SELECT unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 12 HOUR]) AS w FROM events) GROUP BY 1")
+piped("mvexpand_stage", "dataset=pages | eval part=split(url,\".\") | mvexpand part limit=10000000 | stats count as n by part", "SELECT part, count(*) AS n FROM (SELECT unnest(string_split(url, '.')) AS part FROM pages) GROUP BY 1")
+piped("risk_stage", "* | risk score=value entity=user_id factor=\"spend\" | risk score=20 | table event_id risk_score risk_entity", "SELECT event_id, CAST(least(greatest(round(value + 20), 0), 100) AS INT) AS risk_score, CASE WHEN true THEN 'unknown' END AS risk_entity FROM events")
+piped("return_stage", "event_type=view | sort event_id | return 5 event_id", "SELECT event_id FROM events WHERE event_type = 'view' ORDER BY event_id LIMIT 5")
+piped("format_stage", "* | stats count by event_type | sort event_type | format", "SELECT string_agg('(event_type=\"' || event_type || '\" AND count=\"' || c || '\")', ' OR ' ORDER BY event_type) AS search FROM (SELECT event_type, count(*) AS c FROM events GROUP BY 1)")
+
+# -- aggregation ----------------------------------------------------------------------------------------------
+piped("stats_all", "* | stats count, dc(user_id) as d, sum(value) as s, avg(value) as a, min(value) as mi, max(value) as ma, range(value) as r by event_type | eval s=round(s,2), a=round(a,4), r=round(r,4)", "SELECT event_type, count(*) AS count, count(DISTINCT user_id) AS d, round(sum(value), 2) AS s, round(avg(value), 4) AS a, min(value) AS mi, max(value) AS ma, round(max(value) - min(value), 4) AS r FROM events GROUP BY 1")
+piped("stats_moments", "* | stats stdev(value) as sd, var(value) as v, median(value) as m, perc95(value) as p95, p10(value) as p10 by user_id | eval sd=round(sd,4), v=round(v,3), m=round(m,4), p95=round(p95,4), p10=round(p10,4)", "SELECT user_id, round(stddev_samp(value), 4) AS sd, round(var_samp(value), 3) AS v, round(median(value), 4) AS m, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.1), 4) AS p10 FROM events GROUP BY 1")
+piped("stats_conditional", "* | stats count(eval(value>100)) as big, sum(eval(value*2)) as s2 by event_type | eval s2=round(s2,2)", "SELECT event_type, count(*) FILTER (value > 100) AS big, round(sum(value * 2), 2) AS s2 FROM events GROUP BY 1")
+piped("stats_first_last", "* | stats earliest(event_id) as e, latest(event_id) as l, values(event_type) as v by user_id", "SELECT user_id, arg_min(event_id, (ts, CAST(event_id AS VARCHAR))) AS e, arg_max(event_id, (ts, CAST(event_id AS VARCHAR))) AS l, string_agg(DISTINCT event_type, ', ' ORDER BY event_type) AS v FROM events GROUP BY 1")
+piped("stats_empty", "event_type=nothing | stats count, dc(user_id) as d, sum(value) as s, max(value) as m", "SELECT 0::BIGINT AS count, 0::BIGINT AS d, CAST(NULL AS DOUBLE) AS s, CAST(NULL AS DOUBLE) AS m")
+piped("stats_names", "* | stats dc(user_id), dc(event_type)", "SELECT count(DISTINCT user_id) AS \"dc(user_id)\", count(DISTINCT event_type) AS \"dc(event_type)\" FROM events")
+piped("stats_by_array", "dataset=pages | eval parts=split(extract_domain(url),\".\") | stats count by parts", "SELECT parts, count(*) AS count FROM (SELECT unnest(string_split(regexp_extract(url, '://([^/?#]*)', 1), '.')) AS parts FROM pages) GROUP BY 1")
+piped("stats_reference", "* | stats avg(value) by event_type | where avg_value > 10 | eval avg=round(avg,4)", "SELECT event_type, round(avg(value), 4) AS avg FROM events GROUP BY 1 HAVING avg(value) > 10")
+piped("stats_estdc", "* | stats estdc(user_id) as d | eval ok=if(d>0,1,0) | table ok", "SELECT 1 AS ok")
+piped("chart_over", "* | chart count over event_type by user_id", "SELECT event_type, user_id, count(*) AS count FROM events GROUP BY 1, 2")
+piped("timechart_fill", "* | timechart span=1d count, sum(value) as s | eval s=round(s,2)", "SELECT d AS time_bucket, count(e.event_id) AS count, round(coalesce(sum(value), 0), 2) AS s FROM generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-19', INTERVAL 1 DAY) g(d) LEFT JOIN events e ON date_trunc('day', e.ts) = d GROUP BY 1", JAN10, JAN20)
+piped("timechart_other", "* | timechart span=1d limit=2 count by event_type", "WITH t AS (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 2) SELECT date_trunc('day', ts)::TIMESTAMP AS time_bucket, CASE WHEN event_type IN (SELECT event_type FROM t) THEN event_type ELSE 'OTHER' END AS event_type, count(*) AS count FROM events GROUP BY 1, 2")
+piped("top_stage", "* | top 5 user_id", "SELECT user_id, count(*) AS count, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM events) AS percent FROM events GROUP BY 1 ORDER BY count DESC, user_id LIMIT 5")
+piped("rare_by", "* | rare 2 user_id by event_type showperc=false", "SELECT event_type, user_id, count FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY count, user_id) AS n FROM (SELECT event_type, user_id, count(*) AS count FROM events GROUP BY 1, 2)) WHERE n <= 2")
+piped("top_bounds", "* | top 3 event_type _bounds=true showperc=false", "SELECT event_type, count(*) AS count, min(ts) AS _first_seen, max(ts) AS _last_seen FROM events GROUP BY 1 ORDER BY count DESC, event_type LIMIT 3")
+
+# -- row-preserving analytics ---------------------------------------------------------------------------------
+piped("eventstats_stage", "* | eventstats avg(value) as m, count as n by event_type | where value > m | stats count as c, max(n) as n by event_type", "SELECT event_type, count(*) AS c, max(n) AS n FROM (SELECT *, avg(value) OVER (PARTITION BY event_type) AS m, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE value > m GROUP BY 1")
+piped("streamstats_running", "* | streamstats sum(value) as s, count as n by user_id | eval s=round(s,2) | table event_id s n", "SELECT event_id, round(sum(value) OVER w, 2) AS s, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+piped("streamstats_previous", "* | streamstats current=false last(value) as prev by user_id | table event_id prev", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events")
+piped("streamstats_window", "* | streamstats window=4 avg(value) as a | eval a=round(a,4) | table event_id a", "SELECT event_id, round(avg(value) OVER (ORDER BY ts, event_id ROWS 3 PRECEDING), 4) AS a FROM events")
+piped("anomaly_zscore", "* | anomaly field=value by event_type threshold=2 | where is_anomaly=1 | eval anomaly_score=round(anomaly_score,4) | table event_id anomaly_score", "SELECT event_id, round((value - m) / s, 4) AS anomaly_score FROM (SELECT *, avg(value) OVER (PARTITION BY event_type) AS m, stddev_samp(value) OVER (PARTITION BY event_type) AS s FROM events) WHERE abs((value - m) / s) > 2")
+piped("anomaly_mad", "* | anomaly sum(value) by user_id method=mad threshold=2 | eval sum_value=round(sum_value,2), median_val=round(median_val,2) | table user_id sum_value median_val is_anomaly", "WITH g AS (SELECT user_id, sum(value) AS x FROM events GROUP BY 1), m AS (SELECT median(x) AS md FROM g), d AS (SELECT median(abs(x - md)) AS mad FROM g, m) SELECT user_id, round(x, 2) AS sum_value, round(md, 2) AS median_val, CASE WHEN abs(0.6745 * (x - md) / mad) > 2 THEN 1 ELSE 0 END AS is_anomaly FROM g, m, d")
+piped("transaction_whole", "* | transaction user_id | table user_id eventcount duration transaction_start | eval duration=round(duration,3)", "SELECT user_id, count(*) AS eventcount, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS duration, min(ts) AS transaction_start FROM events GROUP BY 1")
+piped("transaction_pause", "* | transaction user_id maxpause=2h | stats count as n, sum(eventcount) as e", "SELECT count(*) FILTER (p IS NULL OR ts - p > INTERVAL 2 HOUR) AS n, count(*) AS e FROM (SELECT ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)")
+piped("transaction_span", "* | transaction user_id maxspan=6h maxevents=5", None)
+piped("transaction_bounds", "* | transaction user_id startswith=(event_type=signup) endswith=(event_type=purchase)", None)
+piped("sequence_stage", "* | sequence by user_id maxspan=12h fields(value) [event_type=view] [event_type=purchase value>20]", None)
+piped("funnel_stage", "* | funnel by user_id window=2d browse=[event_type=view] pick=[event_type=click] buy=[event_type=purchase]", None)
+piped("funnel_open", "* | funnel by user_id [event_type=view] [event_type=click] | table funnel_level count", "WITH v AS (SELECT user_id, min(ts) AS t FROM events WHERE event_type = 'view' GROUP BY 1) SELECT 1 AS funnel_level, count(*) AS count FROM v UNION ALL SELECT 2, count(DISTINCT e.user_id) FROM events e JOIN v ON e.user_id = v.user_id AND e.ts > v.t WHERE event_type = 'click'")
+
+# -- order, limits, sets --------------------------------------------------------------------------------------
+piped("sort_limit", "* | sort 20 -value event_id | table event_id value", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20")
+piped("head_newest", "* | head 15 | table event_id", "SELECT event_id FROM events ORDER BY ts DESC LIMIT 15")
+piped("tail_oldest", "* | tail 15 | table event_id", "SELECT event_id FROM events ORDER BY ts LIMIT 15")
+piped("reverse_head", "* | sort value event_id | reverse | head 7 | table event_id", "SELECT event_id FROM events ORDER BY value DESC, event_id DESC LIMIT 7")
+piped("dedup_newest", "* | dedup user_id event_type | table event_id", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS n FROM events) WHERE n = 1")
+piped("dedup_oldest", "* | dedup 2 user_id keepfirst=false | table event_id", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events) WHERE n <= 2")
+piped("append_stage", "event_type=view | stats count as n | append [search event_type=click | stats count as n, max(value) as m]", "SELECT count(*) AS n, CAST(NULL AS DOUBLE) AS m FROM events WHERE event_type = 'view' UNION ALL SELECT count(*), max(value) FROM events WHERE event_type = 'click'")
+piped("sample_stage", "* | sample 50 | stats count as n", "SELECT 50::BIGINT AS n")
+
+# -- joins and enrichment -------------------------------------------------------------------------------------
+piped("join_inner", "event_type=purchase | join user_id [search event_type=error | stats count as errors, max(value) as worst by user_id] | table event_id errors worst", "SELECT event_id, errors, worst FROM events JOIN (SELECT user_id, count(*) AS errors, max(value) AS worst FROM events WHERE event_type = 'error' GROUP BY 1) USING (user_id) WHERE event_type = 'purchase'")
+piped("join_left", "* | join type=left user_id [search event_type=error value>180 | stats count as errors by user_id] | stats sum(errors) as e, count as n", "SELECT sum(errors)::BIGINT AS e, count(*) AS n FROM events LEFT JOIN (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' AND value > 180 GROUP BY 1) USING (user_id)")
+piped("join_overwrite", "event_type=view | join type=left overwrite=false user_id [search event_type=error | stats max(value) as value, count as c by user_id] | table event_id value c", "SELECT event_id, value, c FROM events LEFT JOIN (SELECT user_id, count(*) AS c FROM events WHERE event_type = 'error' GROUP BY 1) USING (user_id) WHERE event_type = 'view'")
+piped("join_max", "event_type=signup | join max=2 user_id [search event_type=click | fields user_id, event_id | rename event_id as click_id] | table event_id click_id", "SELECT e.event_id, c.event_id AS click_id FROM events e JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events WHERE event_type = 'click') c ON e.user_id = c.user_id AND n <= 2 WHERE e.event_type = 'signup'")
+piped("join_datasets", "dataset=orders | join o_orderkey [search dataset=lineitem * | stats sum(l_quantity) as q by l_orderkey | rename l_orderkey as o_orderkey] | stats sum(q) as q, count as n by o_orderstatus | eval q=round(q,2)", "SELECT o_orderstatus, round(sum(q), 2) AS q, count(*) AS n FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1")
+piped("lookup_stage", "dataset=orders | lookup customer c_custkey AS o_custkey OUTPUT c_mktsegment AS segment, c_nationkey | lookup nation n_nationkey AS c_nationkey OUTPUT n_name | stats count, sum(o_totalprice) as total by segment n_name | eval total=round(total,2)", "SELECT c_mktsegment AS segment, n_name, count(*) AS count, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2")
+piped("lookup_new", "dataset=documents | lookup labels doc_id OUTPUTNEW quality AS source | table doc_id source", "SELECT doc_id, source FROM documents")
+piped("inputlookup_stage", "| inputlookup nation | where n_regionkey=1 | table n_name", "SELECT n_name FROM nation WHERE n_regionkey = 1")
+piped("prevalence_stage", "* | prevalence event_type | dedup event_type | table event_type host_count total_occurrences is_rare", "SELECT event_type, least(count(DISTINCT user_id), 9998) AS host_count, count(*) AS total_occurrences, CASE WHEN count(DISTINCT user_id) < 5 THEN 1 ELSE 0 END AS is_rare FROM events GROUP BY 1 HAVING count(DISTINCT user_id) < 1000")
+piped("prevalence_filter", "dataset=pages | eval n=1 | stats sum(n) as n by url | where n > 1", "SELECT url, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
+
+# -- views ----------------------------------------------------------------------------------------------------
+piped("tree_stage", "| inputlookup nation | eval p=\"region-\"+n_regionkey | tree parent=p child=n_name label=n_name | table node parent depth count", "SELECT n_name AS node, 'region-' || n_regionkey AS parent, 1 AS depth, 1::BIGINT AS count FROM nation UNION ALL SELECT DISTINCT 'region-' || n_regionkey, NULL, 0, 0 FROM nation")
+piped("retro_stage", "* | retro by user", "SELECT CAST(user_id AS VARCHAR) AS user, count(*) AS matches, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1")
+piped("baseline_stage", "* | baseline user=3 window=10d dims=event_type", "SELECT '3' AS entity, 'event_type' AS dim, event_type AS val, min(ts) AS first_seen, count(*) AS event_count, 'x' AS coverage FROM events WHERE false GROUP BY 3", datetime(2024, 1, 25), datetime(2024, 1, 31))
+piped("asset_stage", "* | asset field=user_id 3", "SELECT '3' AS entity, section, value, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen FROM (SELECT ts, 'all' AS section, '' AS value FROM events WHERE user_id = 3 AND ts >= TIMESTAMP '2024-01-30 18:00' - INTERVAL 1 MICROSECOND AND ts < TIMESTAMP '2024-01-31' UNION ALL SELECT ts, 'event_type', event_type FROM events WHERE user_id = 3 AND ts >= TIMESTAMP '2024-01-30 18:00' - INTERVAL 1 MICROSECOND AND ts < TIMESTAMP '2024-01-31') GROUP BY 2, 3", datetime(2024, 1, 1), datetime(2024, 1, 31))
