@@ -144,3 +144,117 @@ piped("tree_stage", "| inputlookup nation | eval p=\"region-\"+n_regionkey | tre
 piped("retro_stage", "* | retro by user", "SELECT CAST(user_id AS VARCHAR) AS user, count(*) AS matches, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1")
 piped("baseline_stage", "* | baseline user=3 window=10d dims=event_type", "SELECT '3' AS entity, 'event_type' AS dim, event_type AS val, min(ts) AS first_seen, count(*) AS event_count, 'x' AS coverage FROM events WHERE false GROUP BY 3", datetime(2024, 1, 25), datetime(2024, 1, 31))
 piped("asset_stage", "* | asset field=user_id 3", "SELECT '3' AS entity, section, value, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen FROM (SELECT ts, 'all' AS section, '' AS value FROM events WHERE user_id = 3 AND ts >= TIMESTAMP '2024-01-30 18:00' - INTERVAL 1 MICROSECOND AND ts < TIMESTAMP '2024-01-31' UNION ALL SELECT ts, 'event_type', event_type FROM events WHERE user_id = 3 AND ts >= TIMESTAMP '2024-01-30 18:00' - INTERVAL 1 MICROSECOND AND ts < TIMESTAMP '2024-01-31') GROUP BY 2, 3", datetime(2024, 1, 1), datetime(2024, 1, 31))
+
+# -- the same over data made from the driver's tables: metrics, spans, rules, risk -------------------------------
+
+
+def made(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples of a counter by user."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    none = F.create_map().cast("map<string,string>")
+    tags = F.create_map(F.lit("user"), F.col("user_id").cast("string"))
+    return e.select(F.concat(F.lit("m_"), "event_type").alias("metric_name"), F.lit("gauge").alias("metric_type"), F.col("ts").cast("timestamp").alias("timestamp"), "value", tags.alias("attributes"), none.alias("resource_attributes"), F.concat(F.lit("svc-"), F.col("user_id") % 5).alias("service_name"))
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = F.col("ts").cast("timestamp")
+    ns = F.round(F.col("value") * 1e6).cast("long")
+    return e.select(F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"), F.lit("").alias("parent_span_id"), t.alias("start_time"), F.timestamp_micros(F.unix_micros(t) + F.floor(ns / 1000)).alias("end_time"), ns.alias("duration_ns"), F.concat(F.lit("svc-"), F.col("user_id") % 5).alias("service_name"), F.col("event_type").alias("span_name"), F.when(F.col("event_type") == "error", "ERROR").otherwise("OK").alias("status_code"), F.create_map().cast("map<string,string>").alias("attributes"), F.create_map().cast("map<string,string>").alias("resource_attributes"))
+
+
+def _observed(spark: SparkSession, sf_dir: str):
+    from rivulet.plans import profile as p
+
+    return events_engine(spark, sf_dir, now=NOW, datasets={"metrics": (_metrics(spark, sf_dir), p.METRICS), "spans": (_spans(spark, sf_dir), p.SPANS)})
+
+
+def observed(name: str, text: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _observed(spark, sf_dir).run(text)
+    ORACLE[name] = sql
+
+
+observed("metrics_chart", "dataset=metrics m_view | stats avg(value) as a, max(value) as m by service | eval a=round(a,4)", "SELECT 'svc-' || user_id % 5 AS service, round(avg(value), 4) AS a, max(value) AS m FROM events WHERE event_type = 'view' GROUP BY 1")
+observed("metrics_tags", "dataset=metrics user=7 | stats count by metric", "SELECT 'm_' || event_type AS metric, count(*) AS count FROM events WHERE user_id = 7 GROUP BY 1")
+observed("metrics_view", "dataset=metrics | metric m_click service=svc-1 | table time_bucket count max", "SELECT date_trunc('minute', ts) AS time_bucket, count(*) AS count, max(value) AS max FROM events WHERE event_type = 'click' AND user_id % 5 = 1 GROUP BY 1")
+observed("metrics_rate", "dataset=metrics m_view | stats rate(value) as r by service_name | eval r=round(r,9)", "SELECT service_name, round(sum(CASE WHEN p IS NULL THEN 0 WHEN value >= p THEN value - p ELSE value END) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS r FROM (SELECT 'svc-' || user_id % 5 AS service_name, ts, value, lag(value) OVER (PARTITION BY user_id % 5 ORDER BY ts, value) AS p FROM events WHERE event_type = 'view') GROUP BY 1")
+observed("services_view", "dataset=spans | services | eval p95_ms=round(p95_ms,3), error_rate=round(error_rate,6) | table service_name requests errors error_rate p95_ms", "SELECT 'svc-' || user_id % 5 AS service_name, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') * 1.0 / count(*), 6) AS error_rate, round(quantile_cont(round(value * 1000000) / 1e6, 0.95), 3) AS p95_ms FROM events GROUP BY 1")
+observed("service_view", "dataset=spans | service svc-2 | table span_name requests", "SELECT event_type AS span_name, count(*) AS requests FROM events WHERE user_id % 5 = 2 GROUP BY 1")
+observed("trace_view", "dataset=spans | trace 11 | table span_id", "SELECT CAST(event_id AS VARCHAR) AS span_id FROM events WHERE user_id = 11")
+observed("spans_duration", "dataset=spans duration>50000000 status=error | stats count by service", "SELECT 'svc-' || user_id % 5 AS service, count(*) AS count FROM events WHERE round(value * 1000000) > 50000000 AND event_type = 'error' GROUP BY 1")
+
+
+@made
+def recent_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.operators.views import recent_traces as traces
+
+    return traces(_spans(spark, sf_dir)).select("trace_id", "start_time", "spans", "errors")
+
+
+ORACLE["recent_traces"] = "SELECT CAST(user_id AS VARCHAR) AS trace_id, min(ts) AS start_time, count(*) AS spans, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1"
+
+
+@made
+def metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.streaming import rollups
+
+    hours = rollups.metric_merge(rollups.metric_partials(_metrics(spark, sf_dir), 60), 3600)
+    return hours.select("metric_name", "service_name", "bucket", F.round("value_sum", 2).alias("value_sum"), "value_count", "value_min", "value_max")
+
+
+ORACLE["metric_rollup"] = "SELECT 'm_' || event_type AS metric_name, 'svc-' || user_id % 5 AS service_name, date_trunc('hour', ts) AS bucket, round(sum(value), 2) AS value_sum, count(*) AS value_count, min(value) AS value_min, max(value) AS value_max FROM events GROUP BY 1, 2, 3"
+
+
+@made
+def slo_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.operators.views import slo
+
+    return slo(_spans(spark, sf_dir), 100).select("service_name", "good", "total", F.round("ratio", 6).alias("ratio"))
+
+
+ORACLE["slo_ratio"] = "SELECT 'svc-' || user_id % 5 AS service_name, count(*) FILTER (event_type <> 'error' AND round(value * 1000000) <= 100000000) AS good, count(*) AS total, round(count(*) FILTER (event_type <> 'error' AND round(value * 1000000) <= 100000000) * 1.0 / count(*), 6) AS ratio FROM events GROUP BY 1"
+
+
+@made
+def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a rule over a month, as decayed risk at its end."""
+    from rivulet.streaming import rules
+
+    engine = events_engine(spark, sf_dir, now=NOW)
+    rule = rules.Rule("errors", "event_type=error value>50", lookback="31d", score=10, entity="user_id")
+    end = datetime(2024, 1, 31)
+    st = engine.compile(rules.parse(rule.query), None, datetime(2024, 1, 1), end)
+    return rules.risk(rules.findings_of(st, rule), F.lit(end).cast("timestamp")).select("entity", "risk_24h", "risk_7d", "finding_count")
+
+
+ORACLE["risk_scores"] = "SELECT CAST(user_id AS VARCHAR) AS entity, CAST(round(sum(CASE WHEN h < 24 THEN 10.0 ELSE 0 END)) AS BIGINT) AS risk_24h, CAST(round(sum(10 * CASE WHEN h < 24 THEN 1.0 WHEN h < 72 THEN 0.7 WHEN h < 120 THEN 0.4 ELSE 0.2 END)) AS BIGINT) AS risk_7d, count(*) AS finding_count FROM (SELECT user_id, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3.6e9 AS h FROM events WHERE event_type = 'error' AND value > 50 AND ts < TIMESTAMP '2024-01-31') WHERE h < 168 GROUP BY 1"
+
+
+@made
+def rule_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of a day's run, an hour's cooldown after those of the day before."""
+    from rivulet.streaming import rules
+
+    engine = events_engine(spark, sf_dir, now=NOW)
+    rule = rules.Rule("spend", "event_type=purchase value>60 | eval x=1", lookback="1d", score=30, entity="user_id")
+    new, old = (rules.findings(engine, rule, datetime(2024, 1, d)) for d in (21, 20))
+    return rules.alerts(new, old, 3600).select("rule", "entity", "score", "findings")
+
+
+ORACLE["rule_alerts"] = "WITH n AS (SELECT user_id, max(ts) AS t, count(*) AS findings FROM events WHERE event_type = 'purchase' AND value > 60 AND ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-21' GROUP BY 1), o AS (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'purchase' AND value > 60 AND ts >= TIMESTAMP '2024-01-19' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1) SELECT 'spend' AS rule, CAST(n.user_id AS VARCHAR) AS entity, 30 AS score, findings FROM n LEFT JOIN o USING (user_id) WHERE o.t IS NULL OR n.t - o.t >= INTERVAL 1 HOUR"
+
+
+@made
+def raw_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.sources.sql import guarded
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+    return guarded(spark, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+
+
+ORACLE["raw_sql"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
