@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +46,7 @@ class Engine:
         return out.select([F.col(f"`{c}`") for c in out.columns if not c.startswith("__")])
 
     def compile(self, q: Query, outer: State | None = None, start: datetime | None = None, end: datetime | None = None) -> State:
-        now = self.now or (outer.now if outer else datetime.utcnow())
+        now = self.now or (outer.now if outer else datetime.now(timezone.utc).replace(tzinfo=None))
         start = times.resolve(q.earliest, now) if q.earliest else start or (outer.start if outer else None)
         end = times.resolve(q.latest, now) if q.latest else end or (outer.end if outer else None)
         first = q.stages[0] if q.stages else None

@@ -17,7 +17,7 @@ from rivulet.plans.state import State
 
 def walk(df: DataFrame, keys: list[str], order: list[str], schema: T.StructType, make) -> DataFrame:
     """Rows of schema that make().row(row) and .end() of each key return. df has keys, order and what row reads."""
-    n = len(keys)
+    n, names = len(keys), schema.names
 
     def run(batches):
         import pyarrow as pa
@@ -40,8 +40,12 @@ def walk(df: DataFrame, keys: list[str], order: list[str], schema: T.StructType,
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in out], schema=arrow)
 
-    dealt = df.repartition(*[q(k) for k in keys]) if keys else df.coalesce(1)
-    return dealt.sortWithinPartitions(*[q(k) for k in keys], *[q(o) for o in order]).mapInArrow(run, schema)
+    # Names without dots on the way, as those of structs are no longer told apart.
+    plain = {c: f"__w{i}" for i, c in enumerate(df.columns)}
+    df = df.select([q(c).alias(n) for c, n in plain.items()])
+    schema = T.StructType([T.StructField(f"__o{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    dealt = df.repartition(*[plain[k] for k in keys]) if keys else df.coalesce(1)
+    return dealt.sortWithinPartitions(*[plain[c] for c in (*keys, *order)]).mapInArrow(run, schema).toDF(*names)
 
 
 def _events(st: State, keys: list[str], conditions: dict, extra: list[str]) -> tuple[DataFrame, list[str]]:

@@ -96,6 +96,9 @@ class Scope:
             raise QueryError(f"there is no field {name!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
         return Typed(*found)
 
+    def is_field(self, name: str) -> bool:
+        return name in self.df.columns or name in self.aliases or self.profile.aliases.get(name) in self.df.columns
+
     # -- expressions ------------------------------------------------------------------------------------------
     def compile(self, x) -> Typed:
         if isinstance(x, Lit):
@@ -127,6 +130,8 @@ class Scope:
         if x.op == "not":
             return Typed(~self.condition(x.args[0]), T.BooleanType())
         a, b = x.args
+        if isinstance(b, Field) and x.op in ("=", "!=", "like", "contains", "startswith", "endswith") and not self.is_field(b.name):
+            b = Lit(b.name)  # a bare word
         if x.op in ("=", "!=", "<", ">", "<=", ">=", "=~", "!~", "like", "contains", "startswith", "endswith"):
             return Typed(self.compare(self.compile(a), x.op, b if isinstance(b, Lit) else None, None if isinstance(b, Lit) else self.compile(b), globs=False, name=a.name if isinstance(a, Field) else ""), T.BooleanType())
         left, right = self.compile(a), self.compile(b)
