@@ -87,7 +87,8 @@ def solve(moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Model:
         return Model(prior)
     mean = sum(moments[k][1] for k in (0, 1)) / total
     second = sum(moments[k][2] for k in (0, 1)) / total
-    scale = np.sqrt(np.maximum(np.diag(second) - mean**2, 1e-12)) + 1e-6
+    # A statistic that hardly varies keeps a scale at which rounding of the sums doesn't matter.
+    scale = np.maximum(np.sqrt(np.maximum(np.diag(second) - mean**2, 0)), 1e-3 * (1 + np.abs(mean)))
     centre, covariance = [], []
     for k in (0, 1):
         m = moments[k][1] / n[k]
@@ -97,7 +98,7 @@ def solve(moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Model:
     inverse, log_det = [], []
     for c in covariance:
         c = (1 - POOL) * c + POOL * pooled
-        c = (1 - RIDGE) * c + RIDGE * max(np.trace(c) / N, 1e-3) * np.eye(N)
+        c = (1 - RIDGE) * c + RIDGE * max(np.trace(c) / N, 0.05) * np.eye(N)
         factor = np.linalg.cholesky(c)
         inverse.append(np.linalg.inv(factor))
         log_det.append(2 * float(np.log(np.diag(factor)).sum()))
