@@ -135,7 +135,9 @@ class Mix:
         places in the document. A document that no slot takes has one row with a null turn."""
         blocks = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / BLOCK))
         cut = self.docs.select(*columns, "sid", "start", "size", F.explode(blocks).alias("block"))
-        met = cut.join(self.slots.select("sid", "block", "turn", "words"), ["sid", "block"], "left")
+        # The planner takes the slots for as few as the shards they are made from; their number grows with the table.
+        slots = self.slots.select("sid", "block", "turn", "words").hint("merge")
+        met = cut.join(slots, ["sid", "block"], "left")
         lo = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
         hi = F.greatest(lo, F.least(F.col("block") * BLOCK + F.col("words") - F.col("start"), F.col("size")))
         taken = F.col("turn").isNotNull()
