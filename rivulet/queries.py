@@ -258,3 +258,52 @@ def raw_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["raw_sql"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
+
+
+@made
+def sql_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SELECT turned into a piped query."""
+    from rivulet.sources.convert import convert
+
+    text = convert("SELECT event_type, count(*) AS n, max(value) AS m FROM logs WHERE value > 20 AND event_type <> 'view' GROUP BY event_type HAVING count(*) > 1 ORDER BY n DESC")
+    return events_engine(spark, sf_dir, now=NOW).run(text)
+
+
+ORACLE["sql_converted"] = "SELECT event_type, count(*) AS n, max(value) AS m FROM events WHERE value > 20 AND event_type <> 'view' GROUP BY 1 HAVING count(*) > 1"
+
+
+@made
+def first_seen_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First sight of each value of each dimension by entity and day."""
+    from rivulet.operators.views import first_seen
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return first_seen(e, F.col("user_id"), ["event_type"], "ts").withColumn("day", F.col("day").cast("string"))
+
+
+ORACLE["first_seen_days"] = "SELECT CAST(user_id AS VARCHAR) AS entity, 'event_type' AS dim, event_type AS val, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, min(ts) AS first_seen, count(*) AS event_count FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)"
+
+
+@made
+def source_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by source and five minutes, merged from partial rows of two halves."""
+    from rivulet.streaming import rollups
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    halves = [rollups.source_partials(e.filter(F.col("event_id") % 2 == k), "event_type", "ts") for k in (0, 1)]
+    return rollups.source_merge(halves[0].unionByName(halves[1]))
+
+
+ORACLE["source_rollup"] = "SELECT event_type AS source, time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS events, max(ts) AS newest FROM events GROUP BY 1, 2"
+
+
+@made
+def metric_series_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter rates by series, then summed by service and day."""
+    from rivulet.operators.views import series_rate
+
+    m = _metrics(spark, sf_dir).filter("metric_name = 'm_view'").withColumn("user", F.col("attributes").getItem("user"))
+    return series_rate(m, [F.col("service_name")], ["user"], 86400).withColumn("rate", F.round("rate", 9))
+
+
+ORACLE["metric_series_rate"] = "SELECT service_name, time_bucket, round(sum(d) / 86400, 9) AS rate FROM (SELECT 'svc-' || user_id % 5 AS service_name, date_trunc('day', ts)::TIMESTAMP AS time_bucket, CASE WHEN value >= p THEN value - p WHEN p IS NOT NULL THEN value END AS d FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, value) AS p FROM events WHERE event_type = 'view')) GROUP BY 1, 2"
