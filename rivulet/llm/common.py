@@ -45,14 +45,6 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(-1))
 
 
-def one_thread() -> None:
-    """Numpy's BLAS keeps to one thread in a worker, as Spark counts one core for each task."""
-    import os
-
-    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
-        os.environ.setdefault(name, "1")
-
-
 def map_batches(df: DataFrame, keep: list[str], inputs: list[Column], schema: str, make, rows: int = 512) -> DataFrame:
     """df's columns keep, and behind them the columns of schema that make(*inputs) returns.
 

@@ -134,6 +134,9 @@ class Mix:
         """columns, sid, start, size, and for each slot that takes words of the document: turn, lo and hi, the words'
         places in the document. A document that no slot takes has one row with a null turn."""
         blocks = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / BLOCK))
+        # A document without words is in no block; below zero there is none, and many such documents are spread.
+        none = F.array(-1 - F.pmod(F.xxhash64(*columns, "start"), F.lit(4096)))
+        blocks = F.when(F.col("size") == 0, none).otherwise(blocks)
         cut = self.docs.select(*columns, "sid", "start", "size", F.explode(blocks).alias("block"))
         # The planner takes the slots for as few as the shards they are made from; their number grows with the table.
         slots = self.slots.select("sid", "block", "turn", "words").hint("merge")

@@ -52,6 +52,16 @@ def test_words_come_near_targets_and_reruns_agree(spark):
     assert key(got) == key(again)
 
 
+def test_query_has_a_row_for_each_document(spark, tmp_path):
+    from rivulet.llm.queries import QUERIES
+
+    rows = [(i // 2, "w " * (i % 3) if i % 4 else None, "ab"[i % 2]) for i in range(400)] + [(None, "", None)] * 3
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op1_mixing"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.size) for r in got) == sorted((d or -1, len((t or "").split())) for d, t, _ in rows)
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, " \n", None)], "doc_id long, text string, source string")
     got, _ = taken(df)
