@@ -45,6 +45,22 @@ class Engine:
         out = st.ordered()
         return out.select([F.col(f"`{c}`") for c in out.columns if not c.startswith("__")])
 
+    def histogram(self, text: str, start: datetime, end: datetime, buckets: int = 100) -> DataFrame:
+        """Counts over time of the events that a query's search and first row-local filters let through."""
+        q = parse(text)
+        keep = []
+        for s in q.stages:
+            if s.name not in ("where", "search", "regex"):
+                break
+            keep.append(s)
+        st = self.compile(Query(q.search, keep, q.dataset, q.earliest, q.latest), None, start, end)
+        span = times.ladder_span(*self.time_range(st), buckets)
+        return st.df.groupBy(times.bucket(F.col(f"`{st.time}`"), span).alias("time_bucket")).agg(F.count("*").alias("count")).orderBy("time_bucket")
+
+    def page(self, text: str, start: datetime | None, end: datetime | None, offset: int, limit: int) -> DataFrame:
+        """Rows offset to offset + limit of a query's result; limits within the query stay what they are."""
+        return self.run(text, start, end).offset(offset).limit(limit)
+
     def compile(self, q: Query, outer: State | None = None, start: datetime | None = None, end: datetime | None = None) -> State:
         now = self.now or (outer.now if outer else datetime.now(timezone.utc).replace(tzinfo=None))
         start = times.resolve(q.earliest, now) if q.earliest else start or (outer.start if outer else None)

@@ -307,3 +307,41 @@ def metric_series_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["metric_series_rate"] = "SELECT service_name, time_bucket, round(sum(d) / 86400, 9) AS rate FROM (SELECT 'svc-' || user_id % 5 AS service_name, date_trunc('day', ts)::TIMESTAMP AS time_bucket, CASE WHEN value >= p THEN value - p WHEN p IS NOT NULL THEN value END AS d FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, value) AS p FROM events WHERE event_type = 'view')) GROUP BY 1, 2"
+
+
+@made
+def histogram_companion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_engine(spark, sf_dir, now=NOW).histogram("event_type=error | where value > 10 | stats count", JAN10, JAN20, 10)
+
+
+ORACLE["histogram_companion"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS time_bucket, count(*) AS count FROM events WHERE event_type = 'error' AND value > 10 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1"
+
+
+@made
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_engine(spark, sf_dir, now=NOW).page("event_type=view | sort event_id | table event_id", None, None, 20, 10)
+
+
+ORACLE["paged"] = "SELECT event_id FROM events WHERE event_type = 'view' ORDER BY event_id LIMIT 10 OFFSET 20"
+
+
+def built(name: str, build: Callable, sql: str) -> None:
+    QUERIES[name] = build
+    ORACLE[name] = sql
+
+
+def _observe():
+    from rivulet.operators import observe
+
+    return observe
+
+
+built("metric_catalog", lambda s, d: _observe().metric_names(_metrics(s, d)), "SELECT 'm_' || event_type AS metric_name, 'gauge' AS metric_type, count(*) AS samples, max(ts) AS newest FROM events GROUP BY 1")
+built("metric_timeseries", lambda s, d: _observe().metric_timeseries(_metrics(s, d), "m_view", "max", 86400, "user"), "SELECT date_trunc('day', ts)::TIMESTAMP AS time_bucket, CAST(user_id AS VARCHAR) AS user, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2")
+built("metric_scalar", lambda s, d: _observe().metric_scalar(_metrics(s, d), "m_view", "max"), "SELECT max(value) AS value FROM events WHERE event_type = 'view'")
+built("service_timeseries", lambda s, d: _observe().service_timeseries(_spans(s, d), "svc-1", 86400).select("time_bucket", "requests", "errors"), "SELECT date_trunc('day', ts)::TIMESTAMP AS time_bucket, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE user_id % 5 = 1 GROUP BY 1")
+built("service_endpoints", lambda s, d: _observe().service_endpoints(_spans(s, d), "svc-1").select("span_name", "requests", "errors"), "SELECT event_type AS span_name, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE user_id % 5 = 1 GROUP BY 1")
+built("service_exemplars", lambda s, d: _observe().service_exemplars(_spans(s, d), "svc-1", 2).select("span_name", "rank", "duration_ns"), "SELECT event_type AS span_name, rank, CAST(round(value * 1000000) AS BIGINT) AS duration_ns FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC) AS rank FROM events WHERE user_id % 5 = 1) WHERE rank <= 2")
+built("slo_coverage", lambda s, d: _observe().slo_coverage(_spans(s, d), 3600), "SELECT service_name, min(ts) AS first, max(ts) AS last, count(*) FILTER (g > INTERVAL 1 HOUR) AS gaps FROM (SELECT 'svc-' || user_id % 5 AS service_name, ts, ts - lag(ts) OVER (PARTITION BY user_id % 5 ORDER BY ts) AS g FROM events) GROUP BY 1")
+built("tag_keys", lambda s, d: _observe().tag_keys(_metrics(s, d)), "SELECT 'user' AS tag, count(*) AS count FROM events")
+built("tag_values", lambda s, d: _observe().tag_values(_metrics(s, d), "user"), "SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS count FROM events GROUP BY 1")
