@@ -231,6 +231,11 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _ in self.pieces([text])[0] for i in ids.split(" ")]
 
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; the words of all are merged together."""
+        joined = [" ".join([ids for ids, _ in got]) for got in self.pieces(texts)]
+        return [np.array(ids.split(" ") if ids else [], np.int32) for ids in joined]
+
     def decode(self, ids: Iterable[int]) -> str:
         """Without a decoder in the file, the tokens' own texts joined by one space."""
         return " ".join(map(self.texts.__getitem__, ids))
@@ -281,7 +286,7 @@ def _mapped(df: DataFrame, keep: list[str], column: str, schema: str, rows, path
 def encode(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """keep and token_ids array<int> for each row of df. A null or empty text has no tokens; a text of any length
     is encoded whole; rows may repeat; an empty table gives an empty one; other columns of df are left out."""
-    return _mapped(df, list(keep), column, "token_ids array<int>", lambda codec, texts: [(codec.encode(x or ""),) for x in texts], path)
+    return _mapped(df, list(keep), column, "token_ids array<int>", lambda codec, texts: [(ids,) for ids in codec.encode_many([x or "" for x in texts])], path)
 
 
 def decode(df: DataFrame, column: str = "token_ids", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:

@@ -25,6 +25,10 @@ def test_any_text_as_the_library(text):
     assert CODEC.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_many_texts_at_once():
+    assert [x.tolist() for x in CODEC.encode_many(ODD)] == [CODEC.encode(t) for t in ODD]
+
+
 def test_scan_and_heap_agree():
     for w in ("international", "thererationing", "lolololololol", "a"):
         raw = w.encode()
