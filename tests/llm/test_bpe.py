@@ -19,7 +19,7 @@ def test_odd_texts_as_the_library(text):
     assert CODEC.decode(CODEC.encode(text)) == LIBRARY.decode(CODEC.encode(text), skip_special_tokens=False)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=300, deadline=None, derandomize=True)
 @given(st.text(st.characters(exclude_categories=["Cs", "Cn"]), max_size=80))
 def test_any_text_as_the_library(text):
     assert CODEC.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
