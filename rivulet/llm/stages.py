@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, mixing, rules, secrets, simhash
+from rivulet.llm import bpe, mixing, near, rules, secrets
 from rivulet.llm.common import map_batches, materialise
 
 
@@ -21,16 +21,15 @@ def keep_quality(docs: DataFrame) -> DataFrame:
 
 
 def one_of_near(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, by fingerprints of five-word shingles and a similarity of 0.8: the
-    one with the smallest doc_id, of rows with that id the one with the smallest hash of its text. Rows with a null
-    id stay unless an equal fingerprint or a near one has an id."""
+    """One document of each group of near copies, by a Jaccard similarity of 0.8 over five-word shingles: the one with
+    the smallest doc_id, of rows with that id the one with the smallest hash of its text. A null id is behind all
+    others; of a group of null ids alone one row stays."""
     keyed = docs.withColumn("__h", F.xxhash64("text"))
-    prints = materialise(simhash.fingerprints(keyed.select("doc_id", "text", "__h"), ["doc_id", "__h"], simhash.NEAR))
-    classes = simhash.classes(prints, simhash.NEAR)
-    own = classes.groupBy("doc_id", "__h", "component_id").agg(F.lit(1).alias("_"))
-    chosen = own.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("__h").alias("__h"))
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__hash"))
-    kept = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__h").eqNullSafe(F.col("__hash")), "left_semi")
+    named = materialise(near.groups(keyed.select(F.col("__h").alias("id"), "text")))
+    own = keyed.select("doc_id", "__h").join(named.withColumnRenamed("id", "__h"), "__h", "left")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__h").alias("hash")))
+    chosen = own.groupBy(F.coalesce("component", "__h").alias("component")).agg(least.alias("c")).select(F.col("c.id").alias("__id"), F.col("c.hash").alias("__hash"))
+    kept = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left_semi")
     # Rows that repeat a document wholly are equal in id and hash; one of them stays.
     once = kept.withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "__h").orderBy("__h")))
     return once.filter("__n = 1").select(*docs.columns)
