@@ -4,26 +4,29 @@ Method: variable-order Markov models (orders 0 to ORDER, Witten-Bell smoothing b
 rejected URLs. A URL's score is the difference of their log likelihoods over its characters, divided by its length;
 it is accepted from the threshold on that makes fewest errors on URLs held out from both models.
 
-The models learn from the URLs that the rules decide: of each verdict, the TRAIN with the smallest hashes (modulo 2^30), every
-fifth of them held out. Without URLs of both verdicts there are no models, and what no rule decides is allowed.
-A null URL, or one without ://, has an empty host and path; a null or empty one scores 0. Repeated URLs are judged
-alike.
+The models learn from all distinct URLs that the rules decide, a fifth of them by hash held out; where a verdict has
+fewer than FEW, all are in both parts. Windows of ORDER + 1 characters are counted as a table, from which all orders
+follow, and joined with the windows of the URLs to be scored; so nothing is left out and nothing of a size that grows
+reaches the driver. The threshold is calibrated on all held-out URLs, to GRAIN. Copies of a URL change nothing.
+Without URLs of both verdicts there are no models, and what no rule decides is allowed. A null URL, or one without
+://, has an empty host and path; a null or empty one scores 0. Markov and Ratio are the same models of short lists.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import map_batches
+from rivulet.llm.common import materialise
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-TRAIN, ORDER = 4000, 4
-#: So many windows of ORDER + 1 characters are remembered with their log ratio in a task.
+ORDER, FEW, GRAIN = 4, 50, 1e-4
+#: So many windows of ORDER + 1 characters are remembered with their log ratio in a list's Ratio.
 REMEMBER = 200_000
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -105,32 +108,87 @@ class Ratio:
         return self.models is None or self.score(url) >= self.threshold
 
 
-def learn(df: DataFrame, url: str = "url", rules=RULES) -> Ratio:
-    """The models of df's URLs as its rules judge them; at most TRAIN of each verdict reach the driver."""
+@dataclass
+class Tables:
+    """Counts of the windows' ends (gram, n0 of accepted and n1 of rejected URLs) and of their contexts (context,
+    totals t0, t1 and kinds of last characters k0, k1), and the threshold; no tables without URLs of both verdicts."""
+
+    grams: DataFrame | None = None
+    contexts: DataFrame | None = None
+    threshold: float = 0.0
+
+    def scores(self, urls: DataFrame) -> DataFrame:
+        """u and score of the distinct, non-empty URLs of column u."""
+        rows = _windows(urls)
+        asked = materialise(rows.groupBy("w").agg(F.lit(1).alias("_")).select("w"))
+        p = [F.lit(1 / 1024), F.lit(1 / 1024)]  # for a character never seen
+        for k in range(ORDER + 1):
+            grams = self.grams.filter(F.char_length("gram") == k + 1).select(F.col("gram").alias(f"g{k}"), *[F.col(f"n{v}").alias(f"n{v}_{k}") for v in (0, 1)])
+            contexts = self.contexts.filter(F.char_length("context") == k).select(F.col("context").alias(f"c{k}"), *[F.col(f"{x}{v}").alias(f"{x}{v}_{k}") for x in "tk" for v in (0, 1)])
+            asked = asked.withColumns({f"g{k}": _end("w", k + 1), f"c{k}": F.substring("w", ORDER + 1 - k, k)})
+            asked = asked.join(grams, f"g{k}", "left").join(contexts, f"c{k}", "left").drop(f"g{k}", f"c{k}")
+            for v in (0, 1):
+                n, t, kinds = (F.coalesce(f"{x}{v}_{k}", F.lit(0)) for x in "ntk")
+                p[v] = F.when(kinds > 0, (n + kinds * p[v]) / (t + kinds)).otherwise(p[v])
+            asked = asked.select("w", *[p[v].alias(f"p{v}") for v in (0, 1)])
+            p = [F.col("p0"), F.col("p1")]
+        ratios = materialise(asked.select("w", F.log(p[0] / p[1]).alias("x")))
+        summed = rows.join(ratios, "w").groupBy("u").agg(F.sum("x").alias("x"))
+        return summed.select("u", F.round(F.col("x") / F.char_length("u"), 10).alias("score"))  # sums come in any order
+
+
+def _windows(urls: DataFrame) -> DataFrame:
+    """urls and w, the ORDER + 1 characters that end at each character."""
+    padded = F.concat(F.lit("\x02" * ORDER), F.col("u"))
+    every = F.transform(F.sequence(F.lit(1), F.char_length("u")), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+    return urls.filter("u != ''").select("*", F.explode(every).alias("w"))
+
+
+def _end(gram: str, n: int) -> Column:
+    return F.substring(gram, -n, n)
+
+
+def learn(df: DataFrame, url: str = "url", rules=RULES) -> Tables:
+    """The models of df's URLs as its rules judge them."""
     _, verdict = matched(host(F.col(url)), path(F.col(url)), rules)
-    judged = df.select(F.col(url).alias("u"), verdict.alias("v"), F.xxhash64(F.col(url)).alias("h")).filter("v is not null")
-    share = {r["v"]: min(1.0, 3.0 * TRAIN / r["n"]) for r in judged.groupBy("v").agg(F.count("*").alias("n")).collect()}
-    got = []
-    for v in ("allow", "block"):
-        # Only hashes below a bound that thrice TRAIN are expected to pass, so that tasks send few rows in all.
-        few = judged.filter((F.col("v") == v) & (F.pmod("h", F.lit(1 << 30)) < int(share.get(v, 0) * (1 << 30))))
-        got.append([r["u"] for r in few.select("u", F.pmod("h", F.lit(1 << 30)).alias("k")).orderBy("k", "u").limit(TRAIN).collect()])
-    return Ratio(*got)
-
-
-def judge(df: DataFrame, keep: list[str], ratio: Ratio, url: str = "url", rules=RULES) -> DataFrame:
+    judged = df.select(F.col(url).alias("u"), (verdict == "block").cast("int").alias("v")).filter("v is not null")
+    urls = materialise(judged.groupBy("u", "v").agg(F.lit(1).alias("_")).select("u", "v"))
+    size = {r["v"]: r["n"] for r in urls.groupBy("v").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
+        return Tables()
+    few = F.col("v").isin([v for v, n in size.items() if n < FEW])
+    fifth = F.pmod(F.xxhash64("u"), F.lit(5)) == 0
+    counted = _windows(urls.filter(few | ~fifth)).groupBy("w").agg(*[F.count(F.when(F.col("v") == v, 1)).alias(f"n{v}") for v in (0, 1)])
+    both = [F.sum(f"n{v}").alias(f"n{v}") for v in (0, 1)]
+    ends = materialise(counted).select(F.explode(F.array(*[_end("w", k + 1) for k in range(ORDER + 1)])).alias("gram"), "n0", "n1")
+    grams = materialise(ends.groupBy("gram").agg(*both))
+    context = F.expr("substring(gram, 1, char_length(gram) - 1)")
+    contexts = materialise(grams.groupBy(context.alias("context")).agg(*[F.sum(f"n{v}").alias(f"t{v}") for v in (0, 1)], *[F.count(F.when(F.col(f"n{v}") > 0, 1)).alias(f"k{v}") for v in (0, 1)]))
+    out = Tables(grams, contexts)
+    held = urls.filter(few | fifth)
+    grains = out.scores(held).join(held, "u").groupBy(F.round(F.col("score") / GRAIN).alias("g")).agg(*[F.count(F.when(F.col("v") == v, 1)).alias(f"n{v}") for v in (0, 1)]).collect()
+    grains = sorted((r["g"], r["n0"], r["n1"]) for r in grains)  # as many as there are grains between the extremes
+    wrong = best = sum(g[2] for g in grains)  # with all accepted; rejecting the lowest ones changes the count
+    if grains:
+        out.threshold = (grains[0][0] - 0.5) * GRAIN
+    for (g, accepted, rejected), (after, *_) in zip(grains, grains[1:]):
+        wrong += accepted - rejected
+        if wrong < best:
+            best, out.threshold = wrong, (g + after) / 2 * GRAIN
+    return out
+
+
+def judge(df: DataFrame, keep: list[str], tables: Tables, url: str = "url", rules=RULES) -> DataFrame:
     """keep, host, path, rule, verdict, and score (null where a rule decides)."""
     u = F.col(url)
     rule, verdict = matched(host(u), path(u), rules)
     seen = df.select(*keep, u.alias("__url"), host(u).alias("__host"), path(u).alias("__path"), rule.alias("__rule"), verdict.alias("__verdict"))
-    shared = df.sparkSession.sparkContext.broadcast(ratio)  # at most 2 * TRAIN URLs' counts
-
-    def make(urls, hosts, paths, rules, verdicts):
-        model, out = shared.value, []
-        for u, v in zip(urls.to_pylist(), verdicts.to_pylist()):
-            score = None if v else model.score(u)
-            out.append((v or ("allow" if model.accepts(u) else "block"), score))
-        return [hosts, paths, rules, *zip(*out)]
-
-    inputs = [F.col(x) for x in ("__url", "__host", "__path", "__rule", "__verdict")]
-    return map_batches(seen, keep, inputs, "host string, path string, rule string, verdict string, score double", make, rows=4096)
+    score = F.lit(0.0)
+    if tables.grams is not None:
+        asked = seen.filter("__verdict is null and __url != ''").groupBy(F.col("__url").alias("u")).agg(F.lit(1).alias("_")).select("u")
+        scores = tables.scores(asked).toDF("__u", "__score")
+        seen = seen.join(scores, F.col("__url") == F.col("__u"), "left")
+        score = F.coalesce("__score", F.lit(0.0))
+    allowed = F.lit(True) if tables.grams is None else score >= tables.threshold
+    found = F.coalesce("__verdict", F.when(allowed, "allow").otherwise("block"))
+    return seen.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), found.alias("verdict"), F.when(F.col("__verdict").isNull(), score).alias("score"))
