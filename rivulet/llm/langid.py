@@ -6,7 +6,7 @@ states each position is labelled with the languages' probabilities, and the docu
 positions. Gates are clipped linear functions and the candidate state a clipped one, as those cost little. Trained in
 numpy by backpropagation through time with Adam.
 
-Training rows are a bounded sample: for each language, the TRAIN documents with the smallest hashes, and of each its
+Training rows are a bounded sample: for each language, the TRAIN distinct texts with the smallest hashes, and of each its
 first SAMPLE bytes and as many from its middle. A null text, or one without a letter, is `und` with score 0; so is
 every text where no row has a language to learn from. Texts are judged by themselves, so rows may repeat.
 """
@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import map_batches
+from rivulet.llm.common import map_batches, materialise
 
 HIDDEN, WINDOW, ROWS = 8, 192, 2048
-TRAIN, SAMPLE, MOST_LANGUAGES = 250, 192, 256
+TRAIN, SAMPLE = 250, 192
 STEPS, BATCH, RATE, SEED = 320, 96, 0.02, 3
 
 
@@ -177,21 +177,18 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of df's rows with a text and a language: at most TRAIN of each of at most MOST_LANGUAGES languages
-    (the most frequent), and of each the sampled characters, reach the driver."""
+    """The model of df's rows with a text and a language: at most TRAIN distinct texts of each language, and of each
+    the sampled characters, reach the driver."""
     t = F.col(text)
     known = df.filter(F.col(lang).isNotNull() & (F.length(t) > 0))
     cut = F.concat(F.substring(t, 1, SAMPLE), F.expr(f"substring(`{text}`, greatest(1, cast(char_length(`{text}`) / 2 as int) - {SAMPLE}), {2 * SAMPLE})"))
-    share = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    # A share of each language's rows by hash, of which the smallest hashes are taken: no sort of a whole language.
-    h = F.xxhash64(t)
-    limit = F.lit(None).cast("double")
-    for r in share:
-        limit = F.when(F.col(lang) == r["lang"], F.lit(min(1.0, 3.0 * TRAIN / r["n"]))).otherwise(limit)
-    few = known.filter((F.pmod(h, F.lit(1 << 30)) / float(1 << 30)) <= limit).select(F.col(lang).alias("lang"), cut.alias("cut"), h.alias("h"))
-    ranked = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "cut"))).filter(F.col("k") <= TRAIN)
-    rows = sorted((r["lang"], r["cut"]) for r in ranked.select("lang", "cut").collect())
-    return train([(t, lang) for lang, t in rows])
+    hashed = known.select(F.col(lang).alias("lang"), F.xxhash64(t).alias("h"), cut.alias("cut"))
+    # Copies are one before the smallest hashes are taken; tasks hand on TRAIN of a language each.
+    distinct = hashed.groupBy("lang", "h").agg(F.lit(1).alias("_"))
+    ranked = distinct.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= TRAIN)
+    few = materialise(ranked.select("lang", "h"))
+    got = hashed.join(few, ["lang", "h"]).groupBy("lang", "h").agg(F.min("cut").alias("cut")).collect()
+    return train([(r["cut"], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["cut"]))])
 
 
 def label(df: DataFrame, keep: list[str], model: Model, text: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 from pyspark.sql import functions as F
-from rivulet.llm import urls
+from rivulet.llm import langid, urls
 
 
 def test_urls_learn_from_all_distinct_urls(spark):
@@ -20,3 +20,11 @@ def test_urls_learn_from_all_distinct_urls(spark):
     ratio.models = urls.Markov(good), urls.Markov(bad)
     assert all(abs(rows["once"][u][1] - ratio.score(u)) < 1e-8 for u in asked)
     assert [rows["once"][u][0] for u in asked] == ["block"] * 5 + ["allow"] * 5
+
+
+def test_language_sample_is_of_distinct_texts(spark, monkeypatch):
+    texts = [("aa", f"text {i % 3} of aa", 2000) for i in range(3)] + [(f"l{i}", f"language {i}", 1) for i in range(300)]
+    df = spark.createDataFrame(texts, "lang string, text string, n int").withColumn("text", F.explode(F.expr("array_repeat(text, n)")))
+    monkeypatch.setattr(langid, "train", lambda rows: rows)
+    rows = langid.learn(df)
+    assert len([1 for _, lang in rows if lang == "aa"]) == 3 and len({lang for _, lang in rows}) == 301
