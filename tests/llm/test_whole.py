@@ -1,7 +1,7 @@
 import random
 
 from pyspark.sql import functions as F
-from rivulet.llm import langid, urls
+from rivulet.llm import langid, toxicity, urls
 
 
 def test_urls_learn_from_all_distinct_urls(spark):
@@ -28,3 +28,12 @@ def test_language_sample_is_of_distinct_texts(spark, monkeypatch):
     monkeypatch.setattr(langid, "train", lambda rows: rows)
     rows = langid.learn(df)
     assert len([1 for _, lang in rows if lang == "aa"]) == 3 and len({lang for _, lang in rows}) == 301
+
+
+def test_toxicity_reads_whole_texts(spark, monkeypatch):
+    assert toxicity.language_of(b"der die und".split() + [b"x"] * 400 + b"the of and to in is".split() * 9) == toxicity.ts.LANGUAGES.index("en")
+    assert toxicity.language_of([b"x"] * 500 + [b"the"]) == toxicity.ts.LANGUAGES.index("en")
+    docs = spark.createDataFrame([(i, "word " * (10 if i % 2 else 2000)) for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 < 2).cast("int").alias("label"))
+    monkeypatch.setattr(toxicity, "train", lambda rows, weight: rows)
+    assert len([1 for t, _ in toxicity.learn(docs, labels) if len(t) > 4000]) == 20
