@@ -16,7 +16,7 @@ def keep_quality(docs: DataFrame) -> DataFrame:
     """Documents that the quality rules keep. Null and empty texts go, as they have fewer than 50 words."""
     refs = rules.references(docs)
     plain = docs.select([F.col(c).alias(f"__col{i}") for i, c in enumerate(docs.columns)])  # clear of the rules' names
-    judged = rules.judge(plain, plain.columns, refs, text=f"__col{docs.columns.index('text')}")
+    judged = rules.judge(plain, plain.columns, refs, *[f"__col{docs.columns.index(c)}" for c in ("text", "lang")])
     return judged.filter("kept").select([F.col(n).alias(c) for n, c in zip(plain.columns, docs.columns)])
 
 

@@ -1,7 +1,7 @@
 import random
 
 from pyspark.sql import functions as F
-from rivulet.llm import langid, toxicity, urls
+from rivulet.llm import langid, rules, stages, toxicity, urls
 
 
 def test_urls_learn_from_all_distinct_urls(spark):
@@ -37,3 +37,19 @@ def test_toxicity_reads_whole_texts(spark, monkeypatch):
     labels = docs.select("doc_id", (F.col("doc_id") % 4 < 2).cast("int").alias("label"))
     monkeypatch.setattr(toxicity, "train", lambda rows, weight: rows)
     assert len([1 for t, _ in toxicity.learn(docs, labels) if len(t) > 4000]) == 20
+
+
+def test_rules_judge_each_language_by_itself(spark):
+    """Clean Greek stays, with and without a language; letters at random go, whatever their number."""
+    rng = random.Random(2)
+    letters = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    rows = []
+    for lang, a in (("en", "abcdefghijklmno"), ("el", "αβγδεζηθικλμνξο")):
+        usual, rare = [letters(a, 3) for _ in range(20)], [letters(a, 6) for _ in range(3000)]
+        text = lambda: ". ".join(" ".join(rng.choice(usual if rng.random() < 0.45 else rare) for _ in range(12)) for _ in range(20))
+        rows += [(lang, text(), True) for _ in range(60)]
+        rows += [(None, text(), True)]
+    rows += [("en", " ".join(letters("abcdefghijklmno", 7) for _ in range(n)), False) for n in (300, 3000)]
+    df = spark.createDataFrame(rows, "lang string, text string, good boolean")
+    assert all(r.kept == r.good for r in rules.judge(df, ["good"], rules.references(df)).collect())
+    assert stages.keep_quality(df).count() == 122
