@@ -1,18 +1,24 @@
 """Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more, and
 what such links reach.
 
-Candidates meet by MinHash: BANDS buckets, each of ROWS minima over the set. Two texts of similarity s share a bucket
-with probability 1 - (1 - s ** ROWS) ** BANDS, 0.9999 at 0.8. Each link is then decided by the sets themselves, so that
-nothing is linked by chance. Repeats within a text don't count. Texts without words are copies of each other.
-
-Equal texts are one node. In each bucket all nodes are first held against one, that with the most neighbours. Where
-the links found leave a bucket in several components, all its pairs of different components are held against each
-other, so that no pair of a bucket is lost and a group of copies costs as many comparisons as it has members.
+Candidates are found by SimHash and pigeonring (simhash.py) over a long fingerprint of the set, repeats left out. Of two
+sets of similarity 0.8 the vectors have a cosine of 2 * 0.8 / 1.8 or more, so that a bit differs with a chance of FLIP;
+so many bits on average differ that no segment is sure to be equal. So the ring has as many segments as a
+recall asks for: with segments of w bits, one of m is equal with a chance of 1 - (1 - (1 - FLIP) ** w) ** m, which is RECALL
+at similarity 0.8 and far nearer to 1 above (0.85: 0.9997). w grows with the logarithm of the number of texts, so that
+the texts that meet by chance stay about as many for each text; m and the length of the fingerprint grow with it, as
+its power of 0.24. Chains of segments, and behind them the whole fingerprint, are held against MARGIN standard deviations
+more than FLIP. Each link is then decided by the sets themselves, so that nothing is linked by chance.
+
+Equal texts are one node (by 64 bits of XXH64). The first round checks a spanning forest of the closest candidates; where a bucket
+then still holds several components, all its other candidates between these are checked as well, so that none is lost. Texts
+without words are copies of each other; a null text is like an empty one; a table without rows has no groups.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from math import ceil, log, log2
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,28 +28,23 @@ from rivulet.llm import simhash
 from rivulet.llm.common import map_batches, materialise
 from rivulet.llm.graph import components
 
-SHINGLE, BANDS, ROWS, SIMILAR = 5, 24, 5, 0.8
-#: Pairs of one text that share a task.
-SHARE = 256
-_RNG = np.random.default_rng(simhash.SEED)
-_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-
+SHINGLE, SIMILAR, RECALL, FLIP, MARGIN = 5, 0.8, 0.99, 0.1515, 3.5
+#: Bits of a fingerprint at least; texts of a bucket on average, as a power of two; shortest segment.
+LEAST, CROWD, NARROW = 1024, 3, 8
 
-def shingles(text: str | None) -> np.ndarray:
-    return np.unique(simhash.hashes(text, SHINGLE))
 
+def ring_for(n: int) -> simhash.Ring:
+    """The ring for a table of n texts."""
+    w = max(NARROW, ceil(log2(max(n, 2))) - CROWD)
+    m = max(ceil(log(1 / (1 - RECALL)) / (1 - FLIP) ** w), ceil(LEAST / w))
+    lanes = ceil(m * w / 64)
+    m, total = lanes * 64 // w, lanes * 64
+    bits = int(total * (FLIP + MARGIN * (FLIP * (1 - FLIP) / total) ** 0.5))
+    return simhash.Ring(shingle=SHINGLE, lanes=lanes, bits=bits, widths=(w,) * m, words=2, repeats=False)
 
-def bands(h: np.ndarray) -> list[int]:
-    """A signed 64-bit number for each band of a set of hashes."""
-    import xxhash
 
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(h), 2048):
-        least = np.minimum(least, (h[at : at + 2048, None] * _TIMES + _PLUS).min(0))
-    raw = least.tobytes()
-    got = [xxhash.xxh64_intdigest(raw[8 * ROWS * i : 8 * ROWS * (i + 1)], i) for i in range(BANDS)]
-    return [x - (1 << 64) if x >> 63 else x for x in got]
+def shingles(text: str | None) -> np.ndarray:
+    return np.unique(simhash.hashes(text, SHINGLE))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -56,57 +57,99 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared)
 
 
-def _fits(a: str, b: str):
-    """Sets whose sizes allow the similarity."""
-    return F.least(a, b) >= SIMILAR * F.greatest(a, b)
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs a < b, each once."""
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("_")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs a, b (n: of how many pairs a may be part) that are similar. texts: id, text."""
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SHARE)))
-    left = dealt.groupBy("a", "salt").agg(F.lit(1).alias("_")).select("a", "salt").join(texts.toDF("a", "ta"), "a")
-    both = dealt.join(texts.toDF("b", "tb"), "b").join(left, ["a", "salt"])
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs that are similar. docs: id, text."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.lit(1).alias("_")).select("id")
+    # Written first, so that Spark knows its size and moves no text where it is small.
+    own = docs.select("id", "text").join(materialise(ids), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    texts = materialise(own)
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def make(ta, tb):
-        held = lru_cache(32)(shingles)
-        return [[similarity(held(x), shingles(y)) >= SIMILAR for x, y in zip(ta.to_pylist(), tb.to_pylist())]]
-
-    return map_batches(both, ["a", "b"], [F.col("ta"), F.col("tb")], "near boolean", make).filter("near").select("a", "b")
-
-
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.lit(1).alias("_")).select("id")
-    return materialise(docs.select("id", "text").join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+        held = lru_cache(64)(shingles)
+        return [[similarity(held(x), held(y)) >= SIMILAR for x, y in zip(ta.to_pylist(), tb.to_pylist())]]
+
+    return materialise(map_batches(both, ["a", "b"], [F.col("ta"), F.col("tb")], "near boolean", make).filter("near").select("a", "b"))
+
+
+def _within(pairs: DataFrame, nodes: DataFrame, ring: simhash.Ring) -> DataFrame:
+    """Those of the pairs whose fingerprints differ in no more bits than the ring's, and whose sets' sizes allow the similarity."""
+    half = lambda x: nodes.select(F.col("id").alias(x), F.col("fp").alias(f"f{x}"), F.col("size").alias(f"s{x}"))
+    met = pairs.join(half("a"), "a").join(half("b"), "b")
+    differ = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    fits = F.least("sa", "sb") >= SIMILAR * F.greatest("sa", "sb")
+    return met.filter(fits & (differ <= ring.bits)).select("a", "b")
+
+
+def _between(rows: DataFrame, ring: simhash.Ring) -> DataFrame:
+    """rows: bucket, id, component, size, fp. Pairs of one bucket and different components that are near in full."""
+    crowded = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > simhash.BLOCK))
+    rows = simhash.blocks_of(rows, crowded, ["bucket"])
+    lanes, bits = ring.lanes, ring.bits
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+
+        def out(bucket, ids, component, size, fp):
+            """The rows of whole buckets."""
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]).any(1)])), len(ids))
+            for at, end in zip(cuts.tolist(), cuts[1:].tolist()):
+                for i in range(at, end - 1):
+                    j = i + 1 + np.flatnonzero(component[i + 1 : end] != component[i])
+                    j = j[np.minimum(size[j], size[i]) >= SIMILAR * np.maximum(size[j], size[i])]
+                    j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(1, dtype=np.int64) <= bits]
+                    if len(j):
+                        a = np.full(len(j), ids[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, ids[j])), pa.array(np.maximum(a, ids[j]))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            plain = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            got = [np.stack(plain[:3], 1), *plain[3:], batch.column(6).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)]
+            if held:
+                got = [np.concatenate(x) for x in zip(held, got)]
+            last = int(np.argmax((got[0] == got[0][-1]).all(1)))
+            held = [x[last:] for x in got]
+            if last:
+                yield from out(*[x[:last] for x in got])
+        if held:
+            yield from out(*held)
+
+    dealt = rows.select("bucket", "lo", "hi", "id", "component", "size", "fp").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """docs: id (long, equal for equal texts only) and text, repeats allowed. id and component of each id that is
     linked to another; a component is named by its smallest id."""
+    ring = ring_for(docs.count())
+
     def make(texts):
         sets = [shingles(t) for t in texts.to_pylist()]
-        return [[len(h) for h in sets], [bands(h) for h in sets]]
-
-    prints = map_batches(docs, ["id"], [F.col("text")], "size long, bands array<long>", make)
-    nodes = materialise(prints.groupBy("id").agg(F.first("size").alias("size"), F.first("bands").alias("bands")))
-    rows = nodes.select("id", "size", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialise(rows.join(shared, "bucket"))
-    score = met.groupBy("id").agg(F.sum("n").alias("score"))
-    centres = met.join(score, "id").groupBy("bucket").agg(F.max(F.struct("score", "id", "size")).alias("c")).select("bucket", F.col("c.id").alias("a"), F.col("c.size").alias("size_a"))
-    pairs = met.join(centres, "bucket").filter((F.col("id") != F.col("a")) & _fits("size", "size_a"))
-    pairs = materialise(pairs.groupBy("a", F.col("id").alias("b")).agg(F.max("n").alias("n")))
-    found = materialise(_verified(pairs, _texts(docs, pairs)))
-    first = materialise(components(found))
-
-    named = met.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return [[len(h) for h in sets], [simhash.lanes_of_hashes(h, ring.lanes).view(np.int64) for h in sets]]
+
+    prints = map_batches(docs, ["id"], [F.col("text")], "size long, fp array<long>", make)
+    nodes = materialise(prints.groupBy("id").agg(F.first("size").alias("size"), F.first("fp").alias("fp")))
+    found = materialise(simhash.links(nodes, ring))
+    pairs = _ordered(found.filter("b is not null"))
+    likely = materialise(_within(pairs, nodes, ring))
+    sure = _verified(likely, docs)
+    first = materialise(components(sure))
+
+    family = found.filter("b is null").select("bucket", F.col("a").alias("id")).groupBy("bucket", "id").agg(F.lit(1).alias("_"))
+    named = materialise(family.select("bucket", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")))
     split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = materialise(named.join(split, "bucket").select("bucket", "id", "size", "component", "n"))
-    other = open_.select("bucket", F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    rest = open_.join(other, "bucket").filter((F.col("component") < F.col("component_b")) & _fits("size", "size_b"))
-    rest = rest.groupBy(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).agg(F.max("n").alias("n"))
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"))
+    rest = _between(named.join(split, "bucket").join(nodes, "id").select("bucket", "id", "component", "size", "fp"), ring)
+    rest = materialise(_ordered(rest).join(likely, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return first
-    more = materialise(_verified(rest, _texts(docs, rest)))
-    return first if more.isEmpty() else components(found.unionAll(more))
+    more = _verified(rest, docs)
+    return first if more.isEmpty() else components(sure.unionAll(more))

@@ -45,3 +45,23 @@ def test_pipeline_runs(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and {r.doc_id for r in out} <= set(range(40)) and len(corpus_pipeline.STAGES) == 5
+
+
+def test_clashing_names_and_null_ids(spark):
+    """Columns named as those that the operators use within come back unchanged."""
+    odd = ["size", "start", "turn", "sid", "cuts", "__h", "__n", "doc", "hash", "rank", "component", "id", "fp", "bucket", "kept", "n_words", "spans", "base"]
+    docs, base = corpus(spark)
+    from pyspark.sql import functions as F
+
+    wide = docs.drop("kept").withColumns({c: F.lit(f"own {c}") for c in odd})
+    twice = wide.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    for stage in (stages.keep_quality, stages.one_of_near, stages.without_secrets, stages.mixed):
+        got = stage(twice)
+        rows = got.collect()
+        assert got.columns == wide.columns and rows and all(r[c] == f"own {c}" for r in rows for c in odd)
+        if stage is stages.one_of_near:
+            kept = stage(stages.keep_quality(twice)).collect()
+            assert len(kept) == 40
+    same = docs.filter("doc_id = 3").unionAll(docs.filter("doc_id = 3")).unionAll(docs.filter("doc_id = 4"))
+    mixed = stages.mixed(same).collect()
+    assert sum(len(r.text.split()) for r in mixed) == round(1.5 * 360)

@@ -1,9 +1,10 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import xxhash
 from rivulet.llm import graph, simhash
-from rivulet.llm.simhash import EXACT, NEAR, Ring
+from rivulet.llm.simhash import EXACT, Ring
 
 
 def brute_fp(text, k):
@@ -44,13 +45,7 @@ def test_components_as_brute_force(spark, monkeypatch):
     """Random fingerprints about a few centres, with crowded buckets cut into blocks."""
     monkeypatch.setattr(simhash, "BLOCK", 64)
     rng = random.Random(2)
-    fps = [rng.getrandbits(64) for _ in range(200)]
-    for centre in [rng.getrandbits(64) for _ in range(6)] + [0]:
-        for _ in range(80):
-            f = centre
-            for _ in range(rng.randrange(7)):
-                f ^= 1 << rng.randrange(64)
-            fps.append(f)
+    fps = random_prints(rng)
     fps += fps[:30]
     ids = rng.sample(range(10_000), len(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
@@ -67,33 +62,103 @@ def test_odd_rows(spark):
     assert simhash.classes(simhash.fingerprints(df.limit(0), ["doc_id"], EXACT), EXACT).collect() == []
 
 
-def test_near_ring_finds_similar_texts(spark):
-    """Recall on pairs of similarity 0.8 and more, and no link between others."""
-    rng = random.Random(3)
-    texts = []
-    for _ in range(60):
-        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
-        other = list(words)
-        for i in rng.sample(range(300), rng.choice((1, 3, 5))):
-            other[i] = "zz" + str(rng.random())
-        texts += [" ".join(words), " ".join(other)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.classes(simhash.fingerprints(df, ["doc_id"], NEAR), NEAR).collect()}
-    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
-    near = [i for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8]
-    assert sum(got[i] == got[i + 1] for i in near) >= 0.9 * len(near) and len(near) > 30
-    assert all(c // 2 == d // 2 for d, c in got.items())
-
-
 def test_graph(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, 3), (3, 7), (9, 9), (5, 200), (200, 130)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 5 for i in [*range(100, 141), 200]}, 7: 3}
 
 
-def test_segments_cover_all_bits():
-    for ring in (EXACT, NEAR, Ring(lanes=2, segments=10)):
-        bits = np.zeros((ring.lanes, 64), int)
-        for lane, lo, width in ring.parts():
-            bits[lane, lo : lo + width] += 1
-        assert (bits == 1).all() and len(ring.parts()) == ring.segments
+def random_prints(rng):
+    fps = [rng.getrandbits(64) for _ in range(200)]
+    for centre in [rng.getrandbits(64) for _ in range(6)] + [0]:
+        for _ in range(80):
+            f = centre
+            for _ in range(rng.randrange(7)):
+                f ^= 1 << rng.randrange(64)
+            fps.append(f)
+    return fps
+
+
+def test_longer_keys_find_the_same(spark, monkeypatch):
+    """Chains of two segments in the key, as in tables of millions."""
+    monkeypatch.setattr(simhash, "LONGER", 10)
+    rng = random.Random(5)
+    fps = random_prints(rng)
+    df = spark.createDataFrame([(d, [f - (1 << 64) if f >> 63 else f]) for d, f in enumerate(fps)], "doc_id long, fp array<long>")
+    got = {r.doc_id: r.component_id for r in simhash.classes(df, EXACT).collect()}
+    assert got == brute_components(range(len(fps)), fps, 4)
+
+
+def test_pairs_for_each_fingerprint_stay_few(monkeypatch):
+    """Pairs that are looked at for each of n random fingerprints, n from 1e5 to 1e7, as their expected number: rows
+    that meet in a bucket of the key's bits."""
+    for n in (10**5, 10**6, 10**7):
+        ring = replace(EXACT, keys=1 if n <= simhash.LONGER else 2)
+        rows = len(ring.widths) * (1 if ring.keys == 1 else 1 + ring.widths[0])
+        assert rows * n / 2 ** min(ring.widths[i] + (ring.widths[i - 1] if ring.keys == 2 else 0) for i in range(5)) < 1300
+
+
+def test_rows_and_chains():
+    """Rows carry the ring from their segment on, and the chains' budgets are those of brute force over bits."""
+    rng = random.Random(6)
+    for ring in (EXACT, replace(EXACT, keys=2), Ring(lanes=4, bits=40, widths=(11,) * 23, words=2)):
+        total = sum(ring.widths)
+        fps = [[rng.getrandbits(64) for _ in range(ring.lanes)] for _ in range(40)]
+        fps += [[x ^ (1 << rng.randrange(64)) for x in f] for f in fps]
+        bits = [[f[b // 64] >> b % 64 & 1 for b in range(total)] for f in fps]
+        rows = simhash.rows_of(np.array(fps, np.uint64), ring)
+        linker, starts = simhash.Linker(ring), np.cumsum((0, *ring.widths))
+        for place, bucket, carried, probe in rows:
+            segment = int(bucket[0]) >> ring.shift()
+            for r, k in enumerate(place.tolist()):
+                ring_bits = [bits[k][(starts[segment] + i) % total] for i in range(64 * ring.words)]
+                assert [int(carried[r][i // 64]) >> i % 64 & 1 for i in range(64 * ring.words)] == ring_bits
+                key = ring.widths[segment] + (ring.widths[(segment + 1) % len(ring.widths)] if ring.keys == 2 else 0)
+                differ = sum(int(bucket[r]) >> i & 1 != ring_bits[i] for i in range(key))
+                assert differ == probe
+            i, j = map(np.ravel, np.meshgrid(np.arange(len(fps)), np.arange(len(fps))))
+            a, b, _ = linker.near(carried, np.full(len(fps), segment), i, j)
+
+            def passes(x, y):
+                d, at = 0, starts[segment]
+                for c, w in enumerate(ring.widths[segment:] + ring.widths[:segment], 1):
+                    d += sum(bits[x][(at + k) % total] != bits[y][(at + k) % total] for k in range(w))
+                    at += w
+                    if at - starts[segment] > 64 * ring.words:
+                        return True
+                    if c in lengths and d > ring.bits * c // len(ring.widths):
+                        return False
+                return True
+
+            lengths = {2, 3, 4, 5, 6, 8, 10} | {len(ring.widths)}
+            if not probe:
+                assert set(zip(a.tolist(), b.tolist())) == {(x, y) for x in range(len(fps)) for y in range(len(fps)) if passes(x, y)}
+
+
+def test_forest_spans_with_the_closest():
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 60, 300), rng.integers(0, 60, 300)
+    d = rng.integers(0, 5, 300)
+    pick = simhash.forest(a, b, d, 60)
+    parent, weight, n = list(range(60)), 0, 0
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k in sorted(range(300), key=lambda k: d[k]):
+        x, y = find(a[k]), find(b[k])
+        if x != y:
+            parent[x], weight, n = y, weight + d[k], n + 1
+    assert len(pick) == n and d[pick].sum() == weight
+
+
+def test_whole_and_equal_texts(spark):
+    """A text of 200,000 words counts to its end; thousands of equal fingerprints are one node."""
+    long = " ".join(str(i) for i in range(200_000))
+    rows = [(1, long), (2, long + " tail"), (3, long + " tail" * 150_000)] + [(10 + i, "same words for all of them") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.classes(simhash.fingerprints(df, ["doc_id"], EXACT), EXACT).collect()}
+    assert simhash.lanes_of(rows[2][1], EXACT)[0] & (1 << 64) - 1 == brute_fp(rows[2][1], 4) and got[3].component_id == 3
+    assert {got[10 + i].component_id for i in range(5000)} == {10} and len(got) == len(rows)
