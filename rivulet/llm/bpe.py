@@ -29,8 +29,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Beyond so many parts, a word is merged with a heap.
 LONG = 64
-#: A worker remembers so many stretches of text between white space, and as many again of the generation before.
-REMEMBER = 350_000
+#: During a task a worker remembers stretches of text between white space that take up so many bytes, by REMEMBER_EACH
+#: and their characters; then it begins anew.
+REMEMBER, REMEMBER_EACH = 48 << 20, 330
 #: No stretch of more characters is remembered.
 REMEMBER_CHARS = 64
 #: Bits for an id.
@@ -74,8 +75,11 @@ class Codec:
         self.words = regex.compile(SPLIT.replace(r"[\p{L}]", letters).replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}{letters}\p{{N}}]"), regex.V1)
         self.odd, self.spaces = regex.compile("[\x1c-\x1f]"), regex.compile(f"[{SPACE}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        self.held = 0
 
     def _table(self) -> None:
         """The merges as a hash table in two numpy arrays, for look-ups of many pairs at a time."""
@@ -211,12 +215,9 @@ class Codec:
                 part = part.replace("Σ", "σ").lower()
                 one.append(list(filter(None, self.spaces.split(part))) if self.odd.search(part) else part.split())
         wanted = set().union(*[x for one in split for x in one if not isinstance(x, str)]).difference(self.known)
-        new = {s: got for s in wanted if (got := self.older.get(s))}
-        new |= self._learn(wanted.difference(new))
-        if len(self.known) + len(new) > REMEMBER:
-            self.older, self.known = self.known, {}
-        self.known |= {s: x for s, x in new.items() if len(s) <= REMEMBER_CHARS}
-        known, older = self.known.get, self.older.get
+        new = self._learn(wanted)
+        known, now = self.known.get, self.known
+        self._remember(new)
         out = []
         for one in split:
             out.append(got := [])
@@ -225,9 +226,19 @@ class Codec:
                     got.append((str(self.special[x]), x))
                     continue
                 found = list(map(known, x))
-                got += found if None not in found else [f or new.get(s) or older(s) for f, s in zip(found, x)]
+                got += found if None not in found else [f or new.get(s) or now[s] for f, s in zip(found, x)]
         return out
 
+    def _remember(self, new: dict[str, tuple[str, str]]) -> None:
+        """Beyond the bound a new dict takes over; what pieces() still reads is its own."""
+        short = {s: x for s, x in new.items() if len(s) <= REMEMBER_CHARS}
+        size = sum(REMEMBER_EACH + len(s) + len(x[0]) + len(x[1]) for s, x in short.items())
+        if self.held + size > REMEMBER:
+            self.forget()
+        if size <= REMEMBER:
+            self.known |= short
+            self.held += size
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _ in self.pieces([text])[0] for i in ids.split(" ")]
 
@@ -255,7 +266,7 @@ _codecs: dict[int, Codec] = {}
 
 
 def codec_of(raw: str) -> Codec:
-    """One Codec for a vocabulary in each worker process, with what it remembers, for all its tasks."""
+    """One Codec for a vocabulary in each worker process, for all its tasks."""
     key = hash(raw)
     if key not in _codecs:
         _codecs.clear()
@@ -280,7 +291,11 @@ def _mapped(df: DataFrame, keep: list[str], column: str, schema: str, rows, path
         got = rows(codec_of(vocabulary.value), column.to_pylist())
         return list(zip(*got))
 
-    return map_batches(df, keep, [df[column]], schema, make, rows=256)
+    def done():
+        for codec in _codecs.values():
+            codec.forget()
+
+    return map_batches(df, keep, [df[column]], schema, make, rows=256, done=done)
 
 
 def encode(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:

@@ -45,11 +45,34 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(-1))
 
 
-def map_batches(df: DataFrame, keep: list[str], inputs: list[Column], schema: str, make, rows: int = 512) -> DataFrame:
+#: Bytes of text that make() gets at a time, unless a single row has more.
+SLICE_BYTES = 4 << 20
+
+
+def slices(columns: list, rows: int, most: int = SLICE_BYTES):
+    """start, length: runs of at most rows rows and, beyond one row, most bytes of text; columns are pyarrow's."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = len(columns[0])
+    size = np.zeros(n, np.int64)
+    for c in columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < n:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, min(n, at + rows, int(np.searchsorted(ends, before + most, side="right"))))
+        yield at, end - at
+        at = end
+
+
+def map_batches(df: DataFrame, keep: list[str], inputs: list[Column], schema: str, make, rows: int = 512, done=None) -> DataFrame:
     """df's columns keep, and behind them the columns of schema that make(*inputs) returns.
 
-    make gets pyarrow arrays of at most rows rows and returns one sequence for each column of schema. It runs in
-    Python workers on Arrow batches; a slice at a time bounds the memory, whatever the size of a batch."""
+    make gets pyarrow arrays of at most rows rows and SLICE_BYTES of text, or of one row, and returns one sequence for
+    each column of schema. It runs in Python workers on Arrow batches. done() is called at the end of each task."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -61,12 +84,16 @@ def map_batches(df: DataFrame, keep: list[str], inputs: list[Column], schema: st
     def run(batches):
         arrow = to_arrow_schema(out)
         types = [arrow.field(i).type for i in range(len(arrow))]
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)  # never empty
-                new = make(*part.columns[k:])
-                cols = [part.column(i).cast(types[i]) for i in range(k)] + [pa.array(x, types[k + i]) for i, x in enumerate(new)]
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        try:
+            for batch in batches:
+                for at, n in slices(batch.columns[k:], rows) if batch.num_rows else ():
+                    part = batch.slice(at, n)
+                    new = make(*part.columns[k:])
+                    cols = [part.column(i).cast(types[i]) for i in range(k)] + [pa.array(x, types[k + i]) for i, x in enumerate(new)]
+                    yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        finally:
+            if done:
+                done()
 
     # Inputs get names of their own, as keep may hold the same columns.
     return df.select(*keep, *[c.alias(f"__in{i}") for i, c in enumerate(inputs)]).mapInArrow(run, out)

@@ -45,3 +45,15 @@ def test_tables(spark):
     back = {r.doc_id: r.decoded for r in bpe.decode(ids).collect()}
     assert back[3] == LIBRARY.decode(LIBRARY.encode("Hello there", add_special_tokens=False).ids, skip_special_tokens=False)
     assert bpe.digest(df.limit(0)).collect() == []
+
+
+def test_memory_is_bounded(monkeypatch):
+    """What a worker remembers stays within its bound and changes no result."""
+    codec, plain = bpe.Codec(bpe._raw(None)), bpe.Codec(bpe._raw(None))
+    monkeypatch.setattr(bpe, "REMEMBER", 20_000)
+    for k in range(30):
+        texts = [f"word{i * k} other{i}, some more words {k}" for i in range(20)]
+        got = codec.digests(texts)
+        assert codec.held <= 20_000 and got == [plain.digests([t])[0] for t in texts]
+    codec.forget()
+    assert not codec.known and codec.held == 0

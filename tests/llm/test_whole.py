@@ -53,3 +53,14 @@ def test_rules_judge_each_language_by_itself(spark):
     df = spark.createDataFrame(rows, "lang string, text string, good boolean")
     assert all(r.kept == r.good for r in rules.judge(df, ["good"], rules.references(df)).collect())
     assert stages.keep_quality(df).count() == 122
+
+
+def test_slices_keep_rows_and_bound_bytes():
+    import pyarrow as pa
+    from rivulet.llm.common import slices
+
+    texts = ["a" * n for n in (10, 0, 500, 3, 3, 3, 90, 2000)] + [None, "b"]
+    got = list(slices([pa.array(texts), pa.array(range(10))], 4, 100))
+    assert [x for at, n in got for x in texts[at : at + n]] == texts
+    for at, n in got:
+        assert 1 <= n <= 4 and (n == 1 or sum(len(t or "") for t in texts[at : at + n]) <= 100)
