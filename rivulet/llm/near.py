@@ -11,7 +11,8 @@ its power of 0.24. Chains of segments, and behind them the whole fingerprint, ar
 more than FLIP. Each link is then decided by the sets themselves, so that nothing is linked by chance.
 
 Equal texts are one node (by 64 bits of XXH64). The first round checks a spanning forest of the closest candidates; where a bucket
-then still holds several components, all its other candidates between these are checked as well, so that none is lost. Texts
+then still holds several components, its other candidates are checked in one task, the closest first, until none is left
+between components that are apart; so none is lost, and links stay fewer than nodes. Texts
 without words are copies of each other; a null text is like an empty one; a table without rows has no groups.
 """
 
@@ -87,43 +88,69 @@ def _within(pairs: DataFrame, nodes: DataFrame, ring: simhash.Ring) -> DataFrame
 
 
 def _between(rows: DataFrame, ring: simhash.Ring) -> DataFrame:
-    """rows: bucket, id, component, size, fp. Pairs of one bucket and different components that are near in full."""
+    """rows: bucket, id, component, fp, hashes. Links a, b between nodes of a bucket and different components, each of
+    which joins components that were apart. Pairs near in full are held against each other by their sets, the closest
+    first, until none is left whose components are apart; so a bucket gives fewer links than it has components."""
     crowded = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > simhash.BLOCK))
     rows = simhash.blocks_of(rows, crowded, ["bucket"])
     lanes, bits = ring.lanes, ring.bits
 
+    def joined(ids, component, fp, sets, failed):
+        """Links among the rows of a bucket."""
+        names, label = np.unique(component, return_inverse=True)
+        up, out = list(range(len(names))), []
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        for at in range(0, len(ids), 64):
+            mine = np.array([find(x) for x in label.tolist()])  # as joined so far
+            i, j = np.nonzero((np.arange(at, min(at + 64, len(ids)))[:, None] < np.arange(len(ids))) & (mine[at : at + 64, None] != mine))
+            i += at
+            fits = np.minimum(size[i], size[j]) >= SIMILAR * np.maximum(size[i], size[j])
+            i, j = i[fits], j[fits]
+            d = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64)
+            order = np.argsort(d, kind="stable")[: int((d <= bits).sum())]
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                a, b = find(label[x]), find(label[y])
+                pair = (ids[x], ids[y]) if ids[x] < ids[y] else (ids[y], ids[x])
+                if a == b or pair in failed:
+                    continue
+                if similarity(sets[x], sets[y]) >= SIMILAR:
+                    up[a] = b
+                    out.append(pair)
+                elif len(failed) < 1_000_000:  # only spares the same comparison in another bucket
+                    failed.add(pair)
+        return out
+
     def run(batches):
         import pyarrow as pa
 
-        held = None
+        key, held, failed = None, [], set()
 
-        def out(bucket, ids, component, size, fp):
-            """The rows of whole buckets."""
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]).any(1)])), len(ids))
-            for at, end in zip(cuts.tolist(), cuts[1:].tolist()):
-                for i in range(at, end - 1):
-                    j = i + 1 + np.flatnonzero(component[i + 1 : end] != component[i])
-                    j = j[np.minimum(size[j], size[i]) >= SIMILAR * np.maximum(size[j], size[i])]
-                    j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(1, dtype=np.int64) <= bits]
-                    if len(j):
-                        a = np.full(len(j), ids[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, ids[j])), pa.array(np.maximum(a, ids[j]))], names=["a", "b"])
+        def out():
+            ids, component = (np.array([r[k] for r in held], np.int64) for k in (0, 1))
+            fp = np.stack([r[2] for r in held])
+            found = joined(ids, component, fp, [r[3] for r in held], failed)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            plain = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            got = [np.stack(plain[:3], 1), *plain[3:], batch.column(6).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)]
-            if held:
-                got = [np.concatenate(x) for x in zip(held, got)]
-            last = int(np.argmax((got[0] == got[0][-1]).all(1)))
-            held = [x[last:] for x in got]
-            if last:
-                yield from out(*[x[:last] for x in got])
-        if held:
-            yield from out(*held)
-
-    dealt = rows.select("bucket", "lo", "hi", "id", "component", "size", "fp").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+            plain = [batch.column(k).to_pylist() for k in range(5)]
+            fps = batch.column(5).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
+            for r, (bucket, lo, hi, i, component) in enumerate(zip(*plain)):
+                if (bucket, lo, hi) != key:
+                    if len(held) > 1:
+                        yield out()
+                    key, held = (bucket, lo, hi), []
+                held.append((i, component, fps[r], np.frombuffer(batch.column(6)[r].as_py(), np.uint64)))
+        if len(held) > 1:
+            yield out()
+
+    dealt = rows.select("bucket", "lo", "hi", "id", "component", "fp", "hashes").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -147,9 +174,11 @@ def groups(docs: DataFrame) -> DataFrame:
     family = found.filter("b is null").select("bucket", F.col("a").alias("id")).groupBy("bucket", "id").agg(F.lit(1).alias("_"))
     named = materialise(family.select("bucket", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")))
     split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    rest = _between(named.join(split, "bucket").join(nodes, "id").select("bucket", "id", "component", "size", "fp"), ring)
-    rest = materialise(_ordered(rest).join(likely, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
+    open_ = materialise(named.join(split, "bucket").select("bucket", "id", "component"))
+    if open_.isEmpty():
         return first
-    more = _verified(rest, docs)
+    ids = materialise(open_.groupBy("id").agg(F.lit(1).alias("_")).select("id"))
+    texts = docs.select("id", "text").join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    sets = materialise(map_batches(texts, ["id"], [F.col("text")], "hashes binary", lambda texts: [[shingles(t).tobytes() for t in texts.to_pylist()]]))
+    more = materialise(_between(open_.join(nodes, "id").join(sets, "id"), ring))
     return first if more.isEmpty() else components(sure.unionAll(more))
