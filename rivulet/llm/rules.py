@@ -67,19 +67,20 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[st
             raw = ts.encode(text)
             classes[lang] = classes.get(lang, 0) + ts.class_counts(raw)
             words.setdefault(lang, Counter()).update(raw.lower().split())
-        out = [[None] * len(texts) for _ in range(4)]
-        for i, lang in enumerate(classes):
-            out[0][i], out[1][i], out[2][i], out[3][i] = lang, classes[lang].tolist(), list(words[lang]), list(words[lang].values())
-        return out
+        # The first row of the slice takes all counts; a bin's number or else a word.
+        rows = [{"lang": k, "bin": i, "word": None, "n": n} for k, c in classes.items() for i, n in enumerate(c.tolist())]
+        rows += [{"lang": k, "bin": None, "word": w, "n": n} for k, c in words.items() for w, n in c.items()]
+        return [[rows] + [None] * (len(texts) - 1)]
 
     known = df.filter(F.col(lang).isNotNull())
-    parts = map_batches(known, [], [F.col(text), F.col(lang)], "lang string, bins array<long>, words array<binary>, times array<long>", make).filter("lang is not null")
-    parts = materialise(parts)
-    bins = parts.select("lang", F.posexplode("bins").alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
-    counted = parts.select("lang", F.explode(F.arrays_zip("words", "times")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.times").alias("n"))
-    ranked = counted.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("k") <= FREQUENT)
-    frequent = materialise(ranked.select("lang", "word", "n", "k")).orderBy("lang", "k").collect()
-    totals = {r["lang"]: r["n"] for r in parts.select("lang", F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    parts = map_batches(known, [], [F.col(text), F.col(lang)], "c array<struct<lang:string,bin:int,word:binary,n:bigint>>", make, rows=4096)
+    each = parts.select(F.explode("c").alias("c")).select("c.*")
+    counted = materialise(each.groupBy("lang", "bin", "word").agg(F.sum("n").alias("n")))
+    bins = counted.filter("bin is not null").select("lang", "bin", "n").collect()
+    of_words = counted.filter("bin is null")
+    ranked = of_words.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("k") <= FREQUENT)
+    frequent = ranked.select("lang", "word", "n", "k").orderBy("lang", "k").collect()
+    totals = {r["lang"]: r["n"] for r in of_words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     classes: dict[str, np.ndarray] = {}
     for r in bins:
         classes.setdefault(r["lang"], np.zeros(ts.SKIP))[r["bin"]] = r["n"]
