@@ -3,7 +3,7 @@
 Method: the words of a source, document behind document, are packed into blocks of BLOCK words. Targets say how many
 words of each source the mix takes, and so how many slots of a block each it fills. Slots are dealt over output
 shards of SHARD slots: a shard's counts of the sources are a multinomial draw given the totals, made by halving the
-shards again and again (each half's counts are a multivariate hypergeometric draw, seeded by the half's place), so
+shards again and again (each half's counts are a multivariate hypergeometric draw of any size, seeded by the half's place), so
 that each shard finds its counts alone and the totals are exact. A source's k-th slot takes block
 permutation(k mod blocks) of pass k div blocks, each pass by a pseudorandom permutation of its own, and slots meet
 the blocks by a join on source and index. The last slot of a source is cut to the words that are still wanted.
@@ -11,7 +11,7 @@ the blocks by a join on source and index. The last slot of a source is cut to th
 Sources by code point, null last, weigh WEIGHTS in turn and share RATE times all words; no target goes beyond LIMIT
 times its source's words, the excess being shared by weight among the others. So a document is taken LIMIT times at
 most. Null and empty texts have no words and are never taken; rows may repeat, each being a document; an empty table
-gives an empty mix. The order of a source's documents is by a hash of doc_id, then doc_id and a hash of the text, so
+gives an empty mix; a very long text lies in as many blocks as it fills; other columns are left out, whatever their names. The order of a source's documents is by a hash of doc_id, then doc_id and a hash of the text, so
 that reruns agree. One row for each source reaches the driver; more than MAX_SOURCES raise an error.
 """
 
@@ -29,6 +29,8 @@ from rivulet.llm.common import WORD, materialise
 BLOCK, SHARD, SEED = 256, 4096, 17
 WEIGHTS, RATE, LIMIT = (5, 2, 1), 1.5, 2
 MAX_SOURCES = 1_000_000
+#: numpy's hypergeometric generator takes fewer items than this.
+MOST = 1_000_000_000
 #: Documents in a group whose running total one task makes, as far as MOST_GROUPS for a source allow.
 GROUP, MOST_GROUPS = 250, 65_536
 
@@ -43,19 +45,30 @@ def targets(sizes: list[int], weights: list[int], total: float, limit: int = LIM
     return out
 
 
-def permutation(k: np.ndarray, n: int, key: int) -> np.ndarray:
-    """Pseudorandom permutation of 0 .. n - 1 at k: four Feistel rounds, walked until back below n."""
-    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+def _half(n: int) -> int:
+    return max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+
+
+def _round(x: np.ndarray, key: int, r: int) -> np.ndarray:
+    x = x + np.uint64((key * 4 + r) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(32)
+
+
+def permutation(k: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """Pseudorandom permutation of 0 .. n - 1 at k, or its inverse: four Feistel rounds, walked until below n."""
+    half = _half(n)
     mask = np.uint64((1 << half) - 1)
     out = k.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
         left, right = out[todo] >> np.uint64(half), out[todo] & mask
-        for r in range(4):
-            x = right + np.uint64((key * 4 + r) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-            left, right = right, left ^ (x ^ x >> np.uint64(32)) & mask
+        for r in range(3, -1, -1) if back else range(4):
+            if back:
+                left, right = right ^ _round(left, key, r) & mask, left
+            else:
+                left, right = right, left ^ _round(right, key, r) & mask
         out[todo] = left << np.uint64(half) | right
         todo = todo[out[todo] >= n]
     return out.astype(np.int64)
@@ -82,20 +95,45 @@ class Source:
                 self.last_words = BLOCK - short if at == self.blocks - 1 else BLOCK
             return
         n = -(-rest // BLOCK)
-        before = permutation(np.arange(n), self.blocks, key_of(sid, whole))
-        if short and (before == self.blocks - 1).any():  # the short block is among them: perhaps one slot more
-            have = n * BLOCK - short
-            n += have < rest
-            before = permutation(np.arange(n), self.blocks, key_of(sid, whole))
-        counts = np.where(before == self.blocks - 1, BLOCK - short, BLOCK)
+        # When the short block comes in this pass; no other place of the pass need be known.
+        short_at = int(permutation(np.array([self.blocks - 1]), self.blocks, key_of(sid, whole), back=True)[0])
+        if short and short_at < n and n * BLOCK - short < rest:
+            n += 1
         self.slots += n
-        self.last_words = int(rest - counts[:-1].sum())
+        self.last_words = rest - ((n - 1) * BLOCK - (short if short_at < n - 1 else 0))
 
 
 def key_of(sid: int, turn: int) -> int:
     return (SEED * 1_000_003 + sid) * 8 + turn
 
 
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of n draws without replacement are among the good ones. Beyond MOST, where numpy's generator ends, each
+    item is drawn by itself with chance n / all, which leaves a sample of nearly n items; those that lack are drawn
+    from the items left, those too many from the sample, by the same rule. Both are uniform, so the draw is exact."""
+    if good + bad < MOST:
+        return int(rng.hypergeometric(good, bad, n))
+    if n <= 64:
+        hits = 0
+        for k in range(n):
+            hits += int(rng.integers(0, good + bad - k)) < good - hits
+        return hits
+    a, b = int(rng.binomial(good, n / (good + bad))), int(rng.binomial(bad, n / (good + bad)))
+    if a + b <= n:
+        return a + hypergeometric(good - a, bad - b, n - a - b, rng)
+    return a - hypergeometric(a, b, a + b - n, rng)
+
+
+def draw(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of n draws without replacement are of each kind."""
+    out, left = np.zeros_like(counts), int(counts.sum())
+    for i in np.flatnonzero(counts).tolist():
+        left -= int(counts[i])
+        out[i] = hypergeometric(int(counts[i]), left, n, rng)
+        n -= int(out[i])
+    return out
+
+
 def shard_counts(totals: np.ndarray, shard: int, shards: int, last: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each source before this shard and in it. All shards but the last have SHARD slots, the last has last."""
     lo, hi, before, here = 0, shards, np.zeros_like(totals), totals
@@ -103,12 +141,7 @@ def shard_counts(totals: np.ndarray, shard: int, shards: int, last: int) -> tupl
     while hi - lo > 1:
         mid = (lo + hi) // 2
         n = slots(lo, mid)
-        if here.sum() < 1_000_000_000:
-            left = np.random.default_rng([SEED, lo, hi]).multivariate_hypergeometric(here, n, method="marginals")
-        else:  # too many for the generator, and so many that chance hardly matters: in proportion
-            exact = here * (n / here.sum())
-            left = np.floor(exact).astype(np.int64)
-            left[np.argsort(-(exact - left), kind="stable")[: n - left.sum()]] += 1
+        left = draw(here, n, np.random.default_rng([SEED, lo, hi]))
         if shard < mid:
             hi, here = mid, left
         else:

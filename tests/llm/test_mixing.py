@@ -69,3 +69,55 @@ def test_odd_tables(spark):
     assert taken(df.limit(0))[0] == []
     got, mix = taken(spark.createDataFrame([(1, "one two three", "a"), (1, "one two three", "a")], "doc_id long, text string, source string"))
     assert sum(r.taken for r in got) == 9 == round(mix.sources[0].target)
+
+
+def test_inverse_permutation():
+    for n in (1, 2, 100, 1023, 70_000):
+        k = np.arange(n)
+        assert (mixing.permutation(mixing.permutation(k, n, 9), n, 9, back=True) == k).all()
+
+
+def plain_plan(size, target, sid):
+    """Slots one by one, pass by pass, until the target's words are reached: how many, and the words of the last."""
+    blocks, want, k = -(-size // mixing.BLOCK), round(target), 0
+    while want > 0:
+        place = int(mixing.permutation(np.array([k % blocks]), blocks, mixing.key_of(sid, k // blocks))[0])
+        words = size - place * mixing.BLOCK if place == blocks - 1 else mixing.BLOCK
+        k, last, want = k + 1, min(words, want), want - words
+    return (k, last) if k else (0, None)
+
+
+def test_plan_as_plain_slots():
+    rng = np.random.default_rng(3)
+    for sid in range(300):
+        size = int(rng.integers(1, 3000))
+        target = float(rng.uniform(0, 2 * size)) if sid % 3 else float(size * (1 + sid % 2))
+        s = mixing.Source("x", size, target)
+        s.plan(sid)
+        slots, last = plain_plan(size, target, sid)
+        assert s.slots == slots and (not slots or s.last_words == last), (sid, size, target)
+
+
+def test_plan_of_large_sources_costs_nothing():
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    at = time.time()
+    s = mixing.Source("x", 10**13 + 7, 1.37 * 10**13)
+    s.plan(5)
+    assert time.time() - at < 1 and tracemalloc.get_traced_memory()[1] < 5e6
+    tracemalloc.stop()
+    assert 0 < s.last_words <= mixing.BLOCK and abs(s.slots * mixing.BLOCK - s.target) < 3 * mixing.BLOCK
+
+
+def test_draws_beyond_the_generator(monkeypatch):
+    """Mean and variance of the hypergeometric distribution, with the generator's end put at 50 items and at its own."""
+    for most, counts, n in ((50, (300, 200), 150), (10**9, (3 * 10**12, 5 * 10**12), 10**12)):
+        monkeypatch.setattr(mixing, "MOST", most)
+        rng, total = np.random.default_rng(1), sum(counts)
+        got = np.array([mixing.draw(np.array(counts), n, rng) for _ in range(3000)])
+        assert (got.sum(1) == n).all() and (got <= counts).all()
+        share = counts[0] / total
+        variance = n * share * (1 - share) * (total - n) / (total - 1)
+        assert abs(got[:, 0].mean() - n * share) < 5 * (variance / 3000) ** 0.5 and 0.85 < got[:, 0].var() / variance < 1.15
