@@ -20,9 +20,12 @@ from rivulet.plans.profile import Profile
 from rivulet.plans.state import State
 
 STAGES: dict[str, Callable[[State, dict], State]] = rows.STAGES | aggregate.STAGES | sets.STAGES | joins.STAGES | sessions.STAGES | views.STAGES
-#: Stages behind which a sort of one's own makes the automatic one needless.
-ORDERING = ("sort", "top", "rare", "timechart", "transaction", "sequence", "funnel", "head", "tail", "reverse", "format", "return")
-#: An indicator list has so many values at most.
+#: Stages behind a stats or chart that make the automatic sort needless, and aggregates that give nothing to sort by.
+ORDERING = ("sort", "top", "rare")
+UNORDERED = ("values", "list", "first", "last", "earliest", "latest", "mode", "sparkline")
+#: Stages that look at a row alone.
+ROW_LOCAL = ("where", "search", "regex", "eval", "rename", "table", "fields", "fillnull", "rex", "extract", "spath", "lookup", "risk")
+#: An indicator list of more values is refused.
 IOC_CAP = 50_000
 
 
@@ -61,6 +64,25 @@ class Engine:
         """Rows offset to offset + limit of a query's result; limits within the query stay what they are."""
         return self.run(text, start, end).offset(offset).limit(limit)
 
+    def total(self, text: str, start: datetime | None = None, end: datetime | None = None) -> int:
+        """Rows of a query's whole result, which pages are parts of."""
+        return self.run(text, start, end).count()
+
+    def days(self, text: str, start: datetime, end: datetime):
+        """The result of a row-local query, day by day, the newest first: pairs of a day's start and its rows. Whoever
+        has enough of them stops, and the days before are never read."""
+        q = parse(text)
+        if bad := next((s.name for s in q.stages if s.name not in ROW_LOCAL), None):
+            raise QueryError(f"{bad} needs all rows, and can't be given day by day")
+        at = times.resolve(q.latest, self.now or datetime.now(timezone.utc).replace(tzinfo=None)) if q.latest else end
+        first = times.resolve(q.earliest, self.now or datetime.now(timezone.utc).replace(tzinfo=None)) if q.earliest else start
+        plain = Query(q.search, q.stages, q.dataset, None, None)
+        while at > first:
+            day = max(first, times.snap(at - timedelta(microseconds=1), "d"))
+            out = self.compile(plain, None, day, at).ordered()
+            yield day, out.select([F.col(f"`{c}`") for c in out.columns if not c.startswith("__")])
+            at = day
+
     def compile(self, q: Query, outer: State | None = None, start: datetime | None = None, end: datetime | None = None) -> State:
         now = self.now or (outer.now if outer else datetime.now(timezone.utc).replace(tzinfo=None))
         start = times.resolve(q.earliest, now) if q.earliest else start or (outer.start if outer else None)
@@ -129,7 +151,10 @@ class Engine:
     def ioc_values(self, x: Ioc) -> list[str]:
         t = self.lookup(x.name if x.source == "lookup" else f"{x.source}:{x.name}")
         column = x.column or t.columns[0]
-        return [folded(str(r[0])) for r in t.select(F.col(f"`{column}`")).distinct().limit(IOC_CAP).collect() if r[0] is not None]
+        some = t.select(F.col(f"`{column}`").alias("v")).filter("v is not null").distinct().limit(IOC_CAP + 1).collect()
+        if len(some) > IOC_CAP:
+            raise QueryError(f"{x.name} has more than {IOC_CAP} values; use a lookup or a subsearch")
+        return [folded(str(r[0])) for r in some]
 
     def fetch(self, url: str, kind: str | None, max_rows: int) -> DataFrame:
         from rivulet.sources.files import fetch
@@ -166,19 +191,18 @@ class Engine:
 
 
 def auto_sorted(q: Query) -> Query:
-    """A grouped stats or chart with no order behind it is sorted by its count, or else its first aggregate."""
+    """The last grouped stats or chart is sorted by its count, or else its first aggregate with an order, unless a stage
+    behind it sorts. So `head` behind it takes the largest groups."""
     from rivulet.functions.aggregates import names
 
     for i in range(len(q.stages) - 1, -1, -1):
         s = q.stages[i]
         if s.name in ORDERING:
             return q
-        if s.name in ("stats", "chart"):
-            keys = s.get("by", []) + s.get("over", [])
-            behind = [x.name for x in q.stages[i + 1 :]]
-            if keys and all(b in ("where", "search", "eval", "lookup", "fillnull") for b in behind):
-                cols = names(s.args["aggs"])
-                lead = next((c for c, a in zip(cols, s.args["aggs"]) if a.func == "count"), cols[0])
+        if s.name in ("stats", "chart") and (keys := s.get("by", []) + s.get("over", [])):
+            cols = list(zip(names(s.args["aggs"]), s.args["aggs"]))
+            lead = next((c for c, a in cols if a.func == "count" and a.arg is None), None) or next((c for c, a in cols if a.func not in UNORDERED), None)
+            if lead:
                 q.stages.insert(i + 1, Stage("sort", {"n": None, "keys": [(lead, True), *[(k, False) for k in keys]]}))
             return q
     return q

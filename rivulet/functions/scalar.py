@@ -484,16 +484,19 @@ def _mvfilter(scope, a, b=None):
     names = _fields_in(cond)
     if arr is None:
         arr = Field(names[0])
-    c = _array(scope, arr)
+    c = arr_column = _array(scope, arr)
     inner = scope.kind_of(c).elementType
 
     def keep(e):
-        from dataclasses import replace
-
         class Element(Scope):
             def column(self, name):
                 return Typed(e, inner)
 
+            def kind_of(self, c):
+                # The element as a column of its name, where the expression has a type outside the filter too.
+                first = F.element_at(arr_column, 1).alias(e._jc.toString())
+                return scope.df.select(first).select(c.alias("x")).schema[0].dataType
+
         s = Element(scope.df, scope.profile, scope.created, scope.engine)
         return s.condition(cond)
 

@@ -35,7 +35,9 @@ def join(st: State, a: dict) -> State:
         order = sub.keys() or [F.xxhash64(*[q(s) for s in theirs])]
         right = right.withColumn("__n", F.row_number().over(W.partitionBy(*map(q, theirs)).orderBy(*order))).filter(F.col("__n") <= most).drop("__n")
     if cap := int(a.get("maxout", 0)):
-        right = right.join(left.select(*map(q, mine)).distinct(), on, "left_semi").limit(cap)
+        # In an order, so that reruns agree.
+        order = [*(sub.keys() or []), F.xxhash64(*[q(c) for c in right.columns])]
+        right = right.join(left.select(*map(q, mine)).distinct(), on, "left_semi").orderBy(*order).limit(cap)
     overwrite = a.get("overwrite", "true").lower() not in ("false", "f", "0")
     keys = set(names) | {st.profile.aliases.get(n, n) for n in names}
     shared = [c for c in right.columns if c in left.columns and not c.startswith("__")]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from rivulet.plans import times
 from rivulet.plans.ast import Field, In, Op
 from rivulet.plans.errors import QueryError
-from rivulet.plans.expressions import IN_CAP, Typed, fold, java_regex
+from rivulet.plans.expressions import Typed, fold, java_regex
 from rivulet.plans.state import State
 
 
@@ -60,11 +60,11 @@ def semi(st: State, x: In) -> DataFrame:
     names = [c for c in sub.df.columns if not c.startswith("__")]
     if len(names) != 1:
         raise QueryError(f"a subsearch of IN returns one column, not {len(names)}")
-    values = sub.ordered().select(fold(q(names[0]).cast("string")).alias("__in")).filter("__in is not null").distinct().limit(IN_CAP)
+    values = sub.df.select(fold(q(names[0]).cast("string")).alias("__in")).filter("__in is not null")
     left = st.df.withColumn("__key", fold(st.scope().compile(x.value).string()))
     if x.negated:  # a null is neither in nor not in
-        return left.filter("__key is not null").join(F.broadcast(values), F.col("__key") == F.col("__in"), "left_anti").drop("__key")
-    return left.join(F.broadcast(values), F.col("__key") == F.col("__in"), "left_semi").drop("__key")
+        return left.filter("__key is not null").join(values, F.col("__key") == F.col("__in"), "left_anti").drop("__key")
+    return left.join(values, F.col("__key") == F.col("__in"), "left_semi").drop("__key")
 
 
 def where(st: State, a: dict) -> State:

@@ -57,12 +57,15 @@ def tree(st: State, a: dict) -> State:
         roots = nodes.select("c", "l", "d", "n").unionByName(missing).filter(matches(F.col("c"), a["root"]) | matches(F.col("l"), a["root"]))
     level = roots.select(F.col("c").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.array("c").alias("path"), F.col("l").alias("label"), F.col("d").alias("detail"), F.col("n").alias("count"))
     out = level
-    for depth in range(1, min(int(a.get("depth", MOST_DEPTH)), MOST_DEPTH) + 1):
+    wanted = min(int(a["depth"]), MOST_DEPTH) if a.get("depth") else None
+    for depth in range(1, (wanted or MOST_DEPTH + 1) + 1):
         below = level.select(F.col("node").alias("p"), "path").join(edges.filter("p is not null"), "p").filter(~F.array_contains("path", F.col("c")))
         level = below.select(F.col("c").alias("node"), F.col("p").alias("parent"), F.lit(depth).alias("depth"), F.array_append("path", F.col("c")).alias("path"), F.col("l").alias("label"), F.col("d").alias("detail"), F.col("n").alias("count"))
         level = st.engine.cut(level)
         if level.isEmpty():
             break
+        if depth > MOST_DEPTH:
+            raise QueryError(f"the tree has more than {MOST_DEPTH} levels; depth= takes the first of them")
         out = out.unionByName(level)
     out = out.withColumn("path", F.array_join("path", " > "))
     return st.rows(out, order=(("path", False),))

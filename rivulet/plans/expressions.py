@@ -17,8 +17,6 @@ from rivulet.plans.profile import Profile
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-#: A list in a subsearch has so many distinct values at most.
-IN_CAP = 10_000
 
 
 def fold(c: Column) -> Column:

@@ -13,8 +13,8 @@ from rivulet.plans.errors import QueryError
 #: Fixed lengths in seconds: a month is 30 days and a year 365.
 UNITS = {"us": 1e-6, "ms": 1e-3, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "M": 2592000, "y": 31536000}
 NAMES = {"sec": "s", "secs": "s", "second": "s", "seconds": "s", "min": "m", "mins": "m", "minute": "m", "minutes": "m", "hr": "h", "hrs": "h", "hour": "h", "hours": "h", "day": "d", "days": "d", "week": "w", "weeks": "w", "mon": "M", "month": "M", "months": "M", "year": "y", "years": "y"}
-#: Spans that bins=N may choose from, in seconds.
-LADDER = (1, 5, 10, 30, 60, 300, 600, 900, 1800, 3600, 7200, 10800, 21600, 43200, 86400, 172800, 604800, 2592000, 7776000, 31536000)
+#: Spans that bins=N may choose from, in seconds; beyond them whole days.
+LADDER = (1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 10800, 21600, 43200, 86400, 172800, 604800, 1209600, 2592000)
 DAY, WEEK, MONTH = 86400, 604800, 2592000
 
 
@@ -78,11 +78,16 @@ def ladder_span(first: datetime, last: datetime, bins: int) -> float:
     """The smallest round span that cuts the time between into at most bins aligned buckets."""
     if bins < 1:
         raise QueryError("bins must be at least 1")
-    a, b = first.timestamp(), max(last.timestamp(), first.timestamp())
-    for span in LADDER:
-        if b // span - a // span + 1 <= bins:
+    zero = datetime(1970, 1, 1)
+    a = (first - zero).total_seconds()
+    b = max((last - zero).total_seconds(), a)
+    least = max(1, -int(-(b - a) // bins))
+    whole_days = -(-least // DAY) * DAY
+    for span in (*[s for s in LADDER if s >= least], whole_days):
+        shift = 4 * DAY if span == WEEK else 0  # weeks begin on Sunday, the epoch on a Thursday
+        if (b + shift) // span - (a + shift) // span + 1 <= bins:
             return float(span)
-    return float(LADDER[-1])
+    return float(whole_days)
 
 
 def bucket_starts(first: datetime, last: datetime, span: float) -> list[datetime]:

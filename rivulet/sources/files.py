@@ -77,7 +77,9 @@ def fetch(spark: SparkSession, url: str, kind: str | None, max_rows: int, allowe
         raise QueryError("the file is too large")
     with open(path, encoding="utf-8") as f:
         rows = parse(f.read(), kind or ("csv" if path.endswith(".csv") else "json"))
-    return frame(spark, rows[: max_rows or MOST_ROWS])
+    if len(rows) > MOST_ROWS and not max_rows:
+        raise QueryError(f"the file has more than {MOST_ROWS} rows; max_rows= takes the first of them")
+    return frame(spark, rows[: max_rows or len(rows)])
 
 
 def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:

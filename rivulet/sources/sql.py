@@ -1,4 +1,4 @@
-"""Raw SQL as an entry: one SELECT, no function that reads beside the tables, and a limit around the whole."""
+"""Raw SQL as an entry: one SELECT, no function that reads beside the tables, and no table by path."""
 
 from __future__ import annotations
 
@@ -9,17 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from rivulet.plans.errors import QueryError
 
 #: Functions that reach code, files or the session.
-DENIED = ("reflect", "java_method", "try_reflect", "read_files", "input_file_name", "input_file_block_start", "current_user", "session_user", "assert_true", "raise_error", "version", "uuid", "sleep", "python_udf")
-
-
-def bare(text: str) -> str:
-    """Without comments, and with literals emptied."""
-    text = re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.S)
-    return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"", "''", text)
-
-
-def guarded(spark: SparkSession, text: str, limit: int = 10_000) -> DataFrame:
-    plain = bare(text).strip().rstrip(";").strip()
+DENIED = ("reflect", "java_method", "try_reflect", "read_files", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "session_user", "assert_true", "raise_error", "version", "uuid", "sleep", "python_udf")
+#: Kinds of files that can stand before a path.
+FORMATS = ("parquet", "csv", "json", "orc", "text", "delta", "avro", "binaryfile", "jdbc", "xml", "image", "libsvm", "iceberg", "hudi", "kafka")
+#: Whatever begins first decides what the characters behind it are: a literal, a quoted name or a comment.
+_TOKEN = re.compile(r"""(?P<raw>\b[rR]['"])|(?P<text>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*")|(?P<name>`(?:[^`]|``)*`)|(?P<gap>--[^\n]*|/\*.*?\*/)|(?P<open>/\*|['"`])""", re.S)
+
+
+def bare(text: str) -> tuple[str, list[str]]:
+    """The statement without comments, literals emptied and quoted names as they read without quotes; and these names."""
+    names: list[str] = []
+
+    def plain(m: re.Match) -> str:
+        if m["open"]:
+            raise QueryError("a literal, a name or a comment has no end")
+        if m["raw"] or m["gap"] and "/*" in m["gap"][2:]:
+            raise QueryError("raw literals and comments within comments are not allowed")
+        if m["text"]:
+            return "''"
+        if m["name"]:
+            names.append(m["name"][1:-1].replace("``", "`"))
+            return names[-1] if re.fullmatch(r"\w+", names[-1]) else "_quoted_"
+        return " "
+
+    return _TOKEN.sub(plain, text), names
+
+
+def guarded(spark: SparkSession, text: str, limit: int | None = None) -> DataFrame:
+    """The rows of a SELECT over registered tables; of at most limit rows, if one is given."""
+    plain, names = bare(text)
+    plain = plain.strip().rstrip(";").strip()
     if ";" in plain:
         raise QueryError("one statement only")
     if not re.match(r"(?i)(select|with)\b", plain):
@@ -28,6 +47,7 @@ def guarded(spark: SparkSession, text: str, limit: int = 10_000) -> DataFrame:
         raise QueryError("a SELECT only")
     if m := re.search(rf"(?i)\b({'|'.join(DENIED)})\s*\(", plain):
         raise QueryError(f"the function {m[1]} is not allowed")
-    if re.search(r"(?i)\b(?:from|join)\s+(?:parquet|csv|json|orc|text|delta|avro|binaryfile|jdbc)\s*\.", plain) or re.search(r"(?i)(?:from|join)\s+\w+\s*\.\s*`", plain):
+    if any(re.search(r"[/:\\]", n) for n in names) or re.search(rf"(?i)(?<![\w.])({'|'.join(FORMATS)})\s*\.\s*_quoted_", plain) or re.search(rf"(?i)(?:\bfrom|\bjoin|,)\s*({'|'.join(FORMATS)})\s*\.\s*\w", plain):
         raise QueryError("files can't be read by path")
-    return spark.sql(text.strip().rstrip(";")).limit(limit)
+    out = spark.sql(re.sub(r"(\s|;)+$", "", text))
+    return out if limit is None else out.limit(limit)

@@ -38,7 +38,8 @@ def metric_merge(partials: DataFrame, span: float) -> DataFrame:
 
 
 #: Aggregates that a rollup answers: from which length of the range on each rollup is read.
-ROUTED = frozenset(("avg", "min", "max", "median", "percentile", "sum", "count"))
+#: Sums, counts and rates stay with the raw rows, as a rollup's buckets at the edges of a range hold rows beyond it.
+ROUTED = frozenset(("avg", "min", "max", "earliest", "latest", "median", "percentile"))
 ROUTES = ((7 * 86400, "1h", 3600), (6 * 3600, "1m", 60))
 
 

@@ -1,10 +1,12 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
+from rivulet.engine import Engine
 from rivulet.plans import times
 from rivulet.plans.ast import Keyword, Op
 from rivulet.plans.errors import QueryError
 from rivulet.plans.parser import STAGES, parse
+from rivulet.plans.profile import Profile
 from rivulet.plans.stages import PARSE
 
 NOW = datetime(2026, 10, 7, 13, 45, 30)
@@ -55,3 +57,39 @@ def test_ladder():
 def test_many_terms_parse_flat():
     q = parse(" OR ".join(f"u=x{i}" for i in range(500))).search
     assert isinstance(q, Op) and len(q.args) == 500
+
+
+def test_span_ladder():
+    """The fixed spans, and whole days beyond a month."""
+    a = datetime(2024, 1, 1)
+    assert [times.ladder_span(a, a + timedelta(seconds=s), 1) for s in (1.5, 12, 100)] == [2.0, 15.0, 120.0]
+    assert times.ladder_span(a, a + timedelta(days=400), 10) == 41 * 86400.0 or times.ladder_span(a, a + timedelta(days=400), 10) % 86400 == 0
+
+
+def test_days_newest_first(spark):
+    e = Engine(spark, {"logs": (spark.createDataFrame([(datetime(2024, 1, d, 5), d) for d in range(1, 6)], "ts timestamp, n int"), Profile("logs", "ts"))})
+    got = [(day.day, [r.n for r in rows.collect()]) for day, rows in e.days("n>1 | eval m=n*2 | table n m", datetime(2024, 1, 1, 12), datetime(2024, 1, 5, 6))]
+    assert got == [(5, [5]), (4, [4]), (3, [3]), (2, [2]), (1, [])]
+    with pytest.raises(QueryError):
+        next(e.days("n>1 | stats count", datetime(2024, 1, 1), datetime(2024, 1, 5)))
+    assert e.total("n>1 | table n") == 4
+
+
+def test_indicator_lists_are_refused_beyond_their_bound(spark, monkeypatch):
+    from rivulet import engine
+
+    monkeypatch.setattr(engine, "IOC_CAP", 3)
+    rows = spark.createDataFrame([(f"v{i}",) for i in range(4)], "v string")
+    logs = spark.createDataFrame([("v1",), ("x",)], "url string")
+    run = lambda t: Engine(spark, {"logs": (logs, Profile("logs", "ts", ("url",)))}, {"few": rows.limit(3), "many": rows}).run(t)
+    assert run('ioc in lookup("few") | stats count as n').first().n <= 1
+    with pytest.raises(QueryError):
+        run('ioc in lookup("many") | stats count as n')
+
+
+def test_large_subsearches_lose_nothing(spark):
+    """More values than any list could hold, with IN and NOT IN."""
+    logs = spark.range(30_000).selectExpr("id", "cast(id as string) as k")
+    run = lambda t: Engine(spark, {"logs": (logs, Profile("logs", "ts"))}).run(t).first().n
+    assert run("id IN [search id<20001 | fields id] | stats count as n") == 20_001
+    assert run("id NOT IN [search id<20001 | fields id] | stats count as n") == 9_999

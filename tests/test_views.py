@@ -67,7 +67,9 @@ def test_files(spark, tmp_path):
     assert files.scalar("007") == "007" and files.scalar("-3") == -3
 
 
-@pytest.mark.parametrize("text", ["DROP TABLE x", "SELECT 1; SELECT 2", "SELECT reflect('a','b')", "SELECT * FROM parquet.`/etc`", "INSERT INTO x VALUES (1)"])
+@pytest.mark.parametrize("text", ["DROP TABLE x", "SELECT 1; SELECT 2", "SELECT reflect('a','b')", "SELECT * FROM parquet.`/etc`", "INSERT INTO x VALUES (1)",
+    "SELECT '--' AS a, java_method('java.lang.System','getProperty','user.home')", "SELECT `java_method`('java.lang.System','getProperty','user.home')",
+    "SELECT * FROM events e, parquet.`/path`", "SELECT * FROM events e, parquet . x", "SELECT 1 /* /* */ ' */ , reflect('a','b') --'", "SELECT r'\\', reflect('a','b') --'", "SELECT 'a", "SELECT 1 /* x"])
 def test_guarded_sql(spark, text):
     with pytest.raises(QueryError):
         sql.guarded(spark, text)
@@ -75,3 +77,5 @@ def test_guarded_sql(spark, text):
 
 def test_guarded_sql_runs(spark):
     assert sql.guarded(spark, "SELECT ';' AS a -- DROP\n").first()[0] == ";"
+    assert sql.guarded(spark, "SELECT `a b` FROM (SELECT 'x''y -- /* ' AS `a b`) /* drop ; */").first()[0] == "x'y -- /* "
+    assert sql.guarded(spark, "SELECT id FROM range(20000)").count() == 20_000
