@@ -3,9 +3,9 @@ what such links reach.
 
 Candidates are found by SimHash and pigeonring (simhash.py) over a long fingerprint of the set, repeats left out. Of two
 sets of similarity 0.8 the vectors have a cosine of 2 * 0.8 / 1.8 or more, so that a bit differs with a chance of FLIP;
-so many bits on average differ that no segment is sure to be equal. So the ring has as many segments as a
-recall asks for: with segments of w bits, one of m is equal with a chance of 1 - (1 - (1 - FLIP) ** w) ** m, which is RECALL
-at similarity 0.8 and far nearer to 1 above (0.85: 0.9997). w grows with the logarithm of the number of texts, so that
+so many bits on average differ that no segment is sure to be equal. So chains begin at as many segments as a
+recall asks for, at all sizes alike: with segments of w bits, one of m is equal with a chance of 1 - (1 - (1 - FLIP) ** w) ** m, which is RECALL
+at similarity 0.8 and far nearer to 1 above (0.85: 0.9999). w grows with the logarithm of the number of texts, so that
 the texts that meet by chance stay about as many for each text; m and the length of the fingerprint grow with it, as
 its power of 0.24. Chains of segments, and behind them the whole fingerprint, are held against MARGIN standard deviations
 more than FLIP. Each link is then decided by the sets themselves, so that nothing is linked by chance.
@@ -29,7 +29,7 @@ from rivulet.llm import simhash
 from rivulet.llm.common import map_batches, materialise
 from rivulet.llm.graph import components
 
-SHINGLE, SIMILAR, RECALL, FLIP, MARGIN = 5, 0.8, 0.99, 0.1515, 3.5
+SHINGLE, SIMILAR, RECALL, FLIP, MARGIN = 5, 0.8, 0.998, 0.1515, 3.5
 #: Bits of a fingerprint at least; texts of a bucket on average, as a power of two; shortest segment.
 LEAST, CROWD, NARROW = 1024, 3, 8
 
@@ -37,11 +37,11 @@ LEAST, CROWD, NARROW = 1024, 3, 8
 def ring_for(n: int) -> simhash.Ring:
     """The ring for a table of n texts."""
     w = max(NARROW, ceil(log2(max(n, 2))) - CROWD)
-    m = max(ceil(log(1 / (1 - RECALL)) / (1 - FLIP) ** w), ceil(LEAST / w))
-    lanes = ceil(m * w / 64)
+    dealt = ceil(log(1 / (1 - RECALL)) / (1 - FLIP) ** w)
+    lanes = ceil(max(dealt * w, LEAST) / 64)
     m, total = lanes * 64 // w, lanes * 64
     bits = int(total * (FLIP + MARGIN * (FLIP * (1 - FLIP) / total) ** 0.5))
-    return simhash.Ring(shingle=SHINGLE, lanes=lanes, bits=bits, widths=(w,) * m, words=2, repeats=False)
+    return simhash.Ring(shingle=SHINGLE, lanes=lanes, bits=bits, widths=(w,) * m, words=2, repeats=False, dealt=dealt)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -180,5 +180,6 @@ def groups(docs: DataFrame) -> DataFrame:
     ids = materialise(open_.groupBy("id").agg(F.lit(1).alias("_")).select("id"))
     texts = docs.select("id", "text").join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     sets = materialise(map_batches(texts, ["id"], [F.col("text")], "hashes binary", lambda texts: [[shingles(t).tobytes() for t in texts.to_pylist()]]))
-    more = materialise(_between(open_.join(nodes, "id").join(sets, "id"), ring))
+    members = materialise(sets.join(nodes.select("id", "fp"), "id"))
+    more = materialise(_between(open_.join(members, "id"), ring))
     return first if more.isEmpty() else components(sure.unionAll(more))

@@ -41,7 +41,7 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 class Ring:
     """shingle: words in a shingle. lanes: of 64 bits. bits: most differing bits of a link, used for budgets. widths: of
     the segments, which make up the ring. words: of 64 bits that a row carries, from its segment on. keys: segments in
-    a key, 1 or 2. repeats: whether repeats of a shingle count."""
+    a key, 1 or 2. repeats: whether repeats of a shingle count. dealt: chains begin at so many segments, or at all."""
 
     shingle: int = 4
     lanes: int = 1
@@ -50,6 +50,7 @@ class Ring:
     words: int = 1
     keys: int = 1
     repeats: bool = True
+    dealt: int | None = None
 
     def budget(self, c: int) -> int:
         return self.bits * c // len(self.widths)
@@ -139,7 +140,7 @@ def rows_of(fp: np.ndarray, ring: Ring) -> list[tuple[np.ndarray, np.ndarray, np
     m, total, n = len(ring.widths), sum(ring.widths), len(fp)
     bits = np.unpackbits(np.ascontiguousarray(fp.astype("<u8")).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, :total]
     at, out, every = 0, [], np.arange(n)
-    for i, w in enumerate(ring.widths):
+    for i, w in enumerate(ring.widths[: ring.dealt]):
         ahead = bits[:, (at + np.arange(64 * ring.words)) % total]
         carried = np.ascontiguousarray(np.packbits(ahead, axis=1, bitorder="little")).view("<u8")
         first = carried[:, 0] & np.uint64((1 << w) - 1)
