@@ -73,7 +73,7 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[st
         return [[rows] + [None] * (len(texts) - 1)]
 
     known = df.filter(F.col(lang).isNotNull())
-    parts = map_batches(known, [], [F.col(text), F.col(lang)], "c array<struct<lang:string,bin:int,word:binary,n:bigint>>", make, rows=4096)
+    parts = map_batches(known, [], [F.col(text), F.col(lang)], "c array<struct<lang:string,bin:int,word:binary,n:bigint>>", make, rows=1024)
     each = parts.select(F.explode("c").alias("c")).select("c.*")
     counted = materialise(each.groupBy("lang", "bin", "word").agg(F.sum("n").alias("n")))
     bins = counted.filter("bin is not null").select("lang", "bin", "n").collect()
