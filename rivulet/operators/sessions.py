@@ -1,12 +1,14 @@
 """Stages that follow the events of a key in time: transaction, sequence, funnel.
 
-Events are dealt by key and sorted by key and time; each task then walks its rows once, holding the state of one key.
-So a key of any size needs no more memory than another."""
+Events are dealt by key and sorted by key and time. Funnels, and transactions without maxspan, are windows over that
+order. What depends on all choices before (maxspan from a first event, matches without overlap) is walked once, with
+the state of one key at a time, so that a key of any size needs no more memory than another."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from rivulet.operators.rows import q
@@ -61,6 +63,33 @@ def _events(st: State, keys: list[str], conditions: dict, extra: list[str]) -> t
     return st.df.select(*cols), [id_] if id_ else []
 
 
+def _segments(df: DataFrame, keys: list[str], pause: int | None, most: int, starts: bool, ends: bool) -> DataFrame:
+    """keys, duration, eventcount, __s, __l of transactions whose borders each event shows by itself and the one before."""
+    by = [q(k) for k in keys]
+    order = W.partitionBy(*by).orderBy("__t", "__id")
+    border = F.lit(False)
+    if pause is not None:
+        border = border | F.coalesce(F.col("__t") - F.lag("__t").over(order) > pause, F.lit(False))
+    if starts:
+        border = border | F.col("__b")
+    if ends:
+        border = border | F.coalesce(F.lag("__e").over(order), F.lit(False))
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    df = df.withColumn("__border", border).withColumn("__g", F.sum(F.col("__border").cast("long")).over(upto))
+    groups = [*by, F.col("__g")]
+    if most:
+        df = df.withColumn("__n", F.row_number().over(W.partitionBy(*groups).orderBy("__t", "__id")))
+        df = df.withColumn("__part", F.floor((F.col("__n") - 1) / most))
+        # A full transaction is followed by another one, but where only a start opens one.
+        df, groups = (df.filter("__part = 0") if starts else df), [*groups, F.col("__part")]
+    out = df.groupBy(*groups).agg(
+        ((F.max("__t") - F.min("__t")) / 1e6).alias("duration"), F.count("*").alias("eventcount"), F.min("__t").alias("__s"), F.max("__t").alias("__l"), F.max("__b").alias("__opened")
+    )
+    # Where a start opens a transaction it is a border too, so that a group has it first or not at all.
+    out = out.filter("__opened") if starts else out
+    return out.select(*by, "duration", "eventcount", "__s", "__l")
+
+
 class _Transaction:
     def __init__(self, key, maxspan, maxevents, maxpause, starts, ends):
         self.key, self.maxspan, self.maxevents, self.maxpause, self.starts, self.ends = key, maxspan, maxevents, maxpause, starts, ends
@@ -103,6 +132,8 @@ def transaction(st: State, a: dict) -> State:
     fields = [df.schema[k] for k in keys] + [T.StructField("duration", T.DoubleType()), T.StructField("eventcount", T.LongType()), T.StructField("__s", T.LongType()), T.StructField("__l", T.LongType())]
     if span is pause is None and not (most or starts or ends):
         out = df.groupBy(*[q(k) for k in keys]).agg(((F.max("__t") - F.min("__t")) / 1e6).alias("duration"), F.count("*").alias("eventcount"), F.min("__t").alias("__s"), F.max("__t").alias("__l"))
+    elif span is None:
+        out = _segments(df, keys, pause, most, starts, ends)
     else:
         out = walk(df, keys, ["__t", "__id"], T.StructType([T.StructField(f.name, f.dataType) for f in fields]), lambda key: _Transaction(key, span, most, pause, starts, ends))
     out = out.withColumns({"transaction_start": F.timestamp_micros("__s"), "transaction_end": F.timestamp_micros("__l")}).drop("__s", "__l")
@@ -167,30 +198,23 @@ def sequence(st: State, a: dict) -> State:
     return st.rows(out, order=((st.time, True),), aliases=dict(st.profile.aliases))
 
 
-class _Funnel:
-    """The longest prefix of the steps that the key reached within the window from a first step."""
-
-    def __init__(self, key, steps, window):
-        self.key, self.steps, self.window = key, steps, window
-        self.open: list[int | None] = [None] * steps  # by step, the start of the latest chain that reached it
-        self.level, self.reached, self.last = 0, None, None
-
-    def row(self, row):
-        t, fits = row[0], row[2 : 2 + self.steps]
-        self.last = t
-        for i in range(self.steps - 1, -1, -1):
-            if not fits[i]:
-                continue
-            start = t if i == 0 else self.open[i - 1]
-            if start is not None and (self.window is None or t - start <= self.window):
-                self.open[i] = start
-                if i + 1 > self.level:
-                    self.level, self.reached = i + 1, t
-        return []
-
-    def end(self):
-        idle = None if self.reached is None else (self.last - self.reached) / 1e6
-        return [(*self.key, self.level, idle)] if self.level else []
+def _reached(df: DataFrame, keys: list[str], steps: int, window: int | None) -> DataFrame:
+    """Of each key that reached a step: level, the longest prefix of the steps within the window from a first step, and
+    idle, the seconds from there to the key's last event. A step follows the latest chain that reached the step before."""
+    by = [q(k) for k in keys]
+    before = W.partitionBy(*by).orderBy("__t", "__id").rowsBetween(W.unboundedPreceding, -1)
+    df = df.withColumn("__start0", F.when(F.col("__c0"), F.col("__t")))
+    for i in range(1, steps):
+        df = df.withColumn("__from", F.last(f"__start{i - 1}", ignorenulls=True).over(before))
+        fits = F.col(f"__c{i}") if window is None else F.col(f"__c{i}") & (F.col("__t") - F.col("__from") <= window)
+        df = df.withColumn(f"__start{i}", F.when(fits, F.col("__from")))
+    firsts = [F.min(F.when(F.col(f"__start{i}").isNotNull(), F.col("__t"))).alias(f"__first{i}") for i in range(steps)]
+    of_key = df.groupBy(*by).agg(F.max("__t").alias("__last"), *firsts).filter("__first0 is not null")
+    level, at = F.lit(1), F.col("__first0")
+    for i in range(1, steps):
+        level = F.when(F.col(f"__first{i}").isNotNull(), i + 1).otherwise(level)
+        at = F.coalesce(f"__first{i}", at)
+    return of_key.select(*by, level.alias("level"), ((F.col("__last") - at) / 1e6).alias("idle"))
 
 
 def funnel(st: State, a: dict) -> State:
@@ -200,8 +224,7 @@ def funnel(st: State, a: dict) -> State:
     df, _ = _events(st, keys, {f"__c{i}": scope.search(s) for i, s in enumerate(a["steps"])}, [])
     span = a.get("window") or a.get("maxspan")
     window = int(times.seconds(span) * 1e6) if span else None
-    fields = [T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("level", T.IntegerType()), T.StructField("idle", T.DoubleType())]
-    reached = walk(df, keys, ["__t", "__id"], T.StructType(fields), lambda key: _Funnel(key, n, window))
+    reached = _reached(df, keys, n, window)
     ends = reached.groupBy("level").agg(F.count("*").alias("n"), F.percentile("idle", F.lit(0.5)).alias("idle"))
     names = [a["names"][i] or f"step{i + 1}" for i in range(n)]
     levels = st.df.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(names)], "funnel_level int, step_name string")
