@@ -24,6 +24,8 @@ from rivulet.llm.common import map_batches, materialise
 
 HIDDEN, WINDOW, ROWS = 8, 192, 2048
 TRAIN, SAMPLE = 250, 192
+#: Parts in which the hashes of a language are first ranked.
+PARTS = 16
 STEPS, BATCH, RATE, SEED = 320, 96, 0.02, 3
 
 
@@ -183,9 +185,11 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     known = df.filter(F.col(lang).isNotNull() & (F.length(t) > 0))
     cut = F.concat(F.substring(t, 1, SAMPLE), F.expr(f"substring(`{text}`, greatest(1, cast(char_length(`{text}`) / 2 as int) - {SAMPLE}), {2 * SAMPLE})"))
     hashed = known.select(F.col(lang).alias("lang"), F.xxhash64(t).alias("h"), cut.alias("cut"))
-    # Copies are one before the smallest hashes are taken; tasks hand on TRAIN of a language each.
-    distinct = hashed.groupBy("lang", "h").agg(F.lit(1).alias("_"))
-    ranked = distinct.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= TRAIN)
+    # Copies are one before the smallest hashes are taken: first those of each part of a language, then those of the
+    # language among them, so that one task meets PARTS times TRAIN hashes at most, whatever the table.
+    distinct = hashed.groupBy("lang", "h").agg(F.pmod("h", F.lit(PARTS)).alias("part"))
+    least = distinct.withColumn("k", F.row_number().over(W.partitionBy("lang", "part").orderBy("h"))).filter(F.col("k") <= TRAIN)
+    ranked = least.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= TRAIN)
     few = materialise(ranked.select("lang", "h"))
     got = hashed.join(few, ["lang", "h"]).groupBy("lang", "h").agg(F.min("cut").alias("cut")).collect()
     return train([(r["cut"], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["cut"]))])
