@@ -142,3 +142,27 @@ def test_urls(spark):
 
 def test_text_statistics():
     assert ts.class_counts("aB1 .#é".encode()).tolist() == [1, 1, 1, 1, 1, 1, 0, 1]
+
+
+def test_toxicity_logits_by_a_plain_loop():
+    """A batch against one text at a time: every filter at every place, its maximum, the logistic unit."""
+    rng = random.Random(9)
+    rows = [(prose(rng, EN + (["vile"] if i % 3 == 0 else []), 20 + i % 40), int(i % 3 == 0)) for i in range(90)]
+    model = toxicity.train(rows)
+
+    def plain(text):
+        marks = [model.table[toxicity.ids_of(w)].sum(0) for w in toxicity.words_of(text)] or [np.zeros(toxicity.WIDTH)]
+        marks += [np.zeros(toxicity.WIDTH)] * 2
+        pooled, column = [], 0
+        for width in toxicity.WIDTHS:
+            columns = [model.filters[:, column + j * toxicity.FILTERS : column + (j + 1) * toxicity.FILTERS] for j in range(width)]
+            pooled += list(np.max([sum(marks[i + j] @ columns[j] for j in range(width)) for i in range(len(marks) - 2)], axis=0))
+            column += width * toxicity.FILTERS
+        hidden = np.array(pooled) + model.bias
+        hidden = np.where(hidden > 0, hidden, toxicity.LEAK * hidden)
+        return hidden @ model.out[:-1] + model.out[-1]
+
+    texts = [t for t, _ in rows[:40]] + ["", "one", "a b", rows[0][0] * 30]
+    batch = model.logits([toxicity.words_of(t) for t in texts])
+    assert np.allclose(batch, [plain(t) for t in texts], atol=1e-3)
+    assert np.mean((model.scores([t for t, _ in rows]) >= toxicity.CUT) == [y == 1 for _, y in rows]) > 0.9
