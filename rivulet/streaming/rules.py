@@ -13,6 +13,7 @@ from rivulet.engine import Engine
 from rivulet.plans import times
 from rivulet.plans.errors import UnsupportedQuery
 from rivulet.plans.parser import parse
+from rivulet.streaming import cron as schedule
 
 #: Weight of a finding by its age in hours: (below, weight); older ones weigh nothing.
 DECAY = ((24, 1.0), (72, 0.7), (120, 0.4), (168, 0.2))
@@ -23,7 +24,8 @@ MATCHES = 2000
 
 @dataclass(frozen=True)
 class Rule:
-    """query with a risk stage, or score and entity for all its rows. cooldown: seconds between alerts of an entity."""
+    """query with a risk stage, or score and entity for all its rows. cooldown: seconds between alerts of an entity. cron: a
+    schedule of five or six fields, instead of every and phase."""
 
     name: str
     query: str
@@ -33,11 +35,14 @@ class Rule:
     cooldown: float = 3600
     every: float = 300
     phase: float = 0
+    cron: str | None = None
 
 
 def next_run(rule: Rule, after: datetime) -> datetime:
-    """The first time behind `after` on the rule's grid."""
-    n = after.timestamp() - rule.phase
+    """The first time behind `after`, in UTC, on the rule's grid: of its schedule with its own offset, or of its period."""
+    if rule.cron:
+        return schedule.next_run(rule.cron, after, rule.name)
+    n = (after - datetime(1970, 1, 1)).total_seconds() - rule.phase
     return after + timedelta(seconds=rule.every - n % rule.every)
 
 

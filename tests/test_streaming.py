@@ -2,9 +2,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 from rivulet.engine import Engine
-from rivulet.plans.errors import UnsupportedQuery
+from rivulet.plans.errors import QueryError, UnsupportedQuery
 from rivulet.plans.profile import LOGS
-from rivulet.streaming import rollups, rules
+from rivulet.streaming import cron, rollups, rules
 
 import pytest
 
@@ -76,3 +76,37 @@ def test_realtime_rules(spark, tmp_path):
     assert spark.table("signals_out").count() == 5
     with pytest.raises(UnsupportedQuery):
         rules.realtime(e, rules.Rule("r", "action=fail | stats count by user"), stream, LOGS)
+
+
+def test_cron_against_every_minute():
+    """The next time by a walk over all minutes."""
+    names = {"mon": 1, "fri": 5}
+    for text, fits in {
+        "*/7 * * * *": lambda t: t.minute % 7 == 0,
+        "0 9,17 * * mon-fri": lambda t: t.minute == 0 and t.hour in (9, 17) and names["mon"] <= (t.weekday() + 1) % 7 <= names["fri"],
+        "15 3 1-5/2 feb,10 *": lambda t: (t.minute, t.hour) == (15, 3) and t.day in (1, 3, 5) and t.month in (2, 10),
+        "30 4 * * 7": lambda t: (t.minute, t.hour) == (30, 4) and t.weekday() == 6,
+    }.items():
+        t = T0
+        for _ in range(4):
+            want = t + timedelta(minutes=1)
+            while not fits(want):
+                want += timedelta(minutes=1)
+            assert cron.following(text, t) == want
+            t = want
+    assert cron.following("10 0 0 * * *", T0) == T0 + timedelta(seconds=10)
+    for bad in ("* * * *", "61 * * * *", "*/0 * * * *", "5-1 * * * *", "x * * * *"):
+        with pytest.raises(QueryError):
+            cron.following(bad, T0)
+    with pytest.raises(QueryError):
+        cron.following("0 0 31 2 *", T0)
+
+
+def test_rules_have_their_own_place_on_a_schedule():
+    at = {n: cron.offset("*/5 * * * *", T0, n) for n in ("a", "b", "c")}
+    assert len(set(at.values())) == 3 and all(timedelta(0) <= x < timedelta(seconds=150) for x in at.values())
+    assert max(cron.offset("0 9 * * *", T0, str(i)) for i in range(50)) < timedelta(seconds=300)
+    rule = rules.Rule("a", "x=1", cron="*/5 * * * *")
+    first = rules.next_run(rule, T0)
+    assert first == T0 + at["a"] and rules.next_run(rule, first) == first + timedelta(minutes=5)
+    assert cron.next_run("*/5 * * * *", T0, "a", cap=0) == T0 + timedelta(minutes=5)
