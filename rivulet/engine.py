@@ -31,11 +31,13 @@ IOC_CAP = 50_000
 
 class Engine:
     """datasets: name to (frame or factory, profile); `logs` is the default. lookups: name to frame or factory. sinks:
-    name to a function of a frame. ai: a function of a frame and a prompt. folders: where files may be looked up."""
+    name to a function of a frame. ai: a function of a frame and a prompt. folders: where files may be looked up.
+    rollups: dataset of metrics to its rollups, name (1m, 1h) to frame or factory of partial rows."""
 
-    def __init__(self, spark: SparkSession, datasets: dict | None = None, lookups: dict | None = None, sinks: dict | None = None, ai: Callable | None = None, folders: tuple[str, ...] = (), default: str = "logs", now: datetime | None = None):
+    def __init__(self, spark: SparkSession, datasets: dict | None = None, lookups: dict | None = None, sinks: dict | None = None, ai: Callable | None = None, folders: tuple[str, ...] = (), default: str = "logs", now: datetime | None = None, rollups: dict | None = None):
         self.spark, self.datasets, self.lookups, self.sinks = spark, dict(datasets or {}), dict(lookups or {}), dict(sinks or {})
         self.ai, self.folders, self.default, self.now = ai, folders, default, now
+        self.rollups = dict(rollups or {})
         self._small: dict[str, bool] = {}
         self._ranges: dict = {}
 
@@ -92,9 +94,24 @@ class Engine:
             st = State(self.spark.range(0), Profile("lookup", "_time"), self, start, end, now, None)
             st = joins.inputlookup(st, first.args)
             return self.stages(st, q.stages[1:])
-        st = self.scan(q.dataset or self.default, start, end, now)
+        st = self.rollup(q, start, end, now) or self.scan(q.dataset or self.default, start, end, now)
         return self.stages(rows.filtered(st, q.search, search=True), q.stages)
 
+    def rollup(self, q: Query, start, end, now) -> State | None:
+        """The partial rows for a query of metrics over a long range that they answer: those of the buckets that begin
+        within the range, so that rows of a first or last part of a bucket come in whole or not at all."""
+        levels = self.rollups.get(q.dataset or self.default)
+        if not levels or not (start and end):
+            return None
+        from rivulet.streaming import rollups
+
+        name = rollups.routed(q, (end - start).total_seconds())
+        if name not in levels:
+            return None
+        df = levels[name]() if callable(levels[name]) else levels[name]
+        df = df.filter((F.col("bucket") >= F.lit(start)) & (F.col("bucket") < F.lit(end)))
+        return State(df, rollups.PARTIALS, self, start, end, now, None)
+
     def scan(self, name: str, start, end, now) -> State:
         if name not in self.datasets:
             raise QueryError(f"there is no dataset {name!r}")

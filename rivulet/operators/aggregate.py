@@ -54,7 +54,8 @@ def grouped(st: State, aggs: list[Agg], by: list[str], carry: bool = True) -> tu
     names = ag.names(aggs)
     scope, time = st.scope(), st.time
     lines = [i for i, a in enumerate(aggs) if a.func == "sparkline"]
-    cols = [ag.build(scope, a, time).alias(n) for i, (a, n) in enumerate(zip(aggs, names)) if i not in lines]
+    build = st.profile.build or ag.build
+    cols = [build(scope, a, time).alias(n) for i, (a, n) in enumerate(zip(aggs, names)) if i not in lines]
     if carry:
         cols += [how(q(c)).alias(c) for c, how in CARRIED.items() if c in st.df.columns and c not in by and c not in names]
     df = st.df.groupBy(*[q(b) for b in by]).agg(*cols) if cols else st.df.select(*[q(b) for b in by]).distinct()

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.plans import times
+from rivulet.plans.ast import Agg, Field, Keyword, Lit, Op, Query, Term
+from rivulet.plans.errors import QueryError
+from rivulet.plans.profile import METRICS, Profile
 
 AHEAD = timedelta(hours=1)
 
@@ -50,6 +53,47 @@ def route(range_seconds: float, aggregates: list[str], span: float | None = None
     return next((name for least, name, width in ROUTES if range_seconds >= least and (span is None or span % width == 0)), None)
 
 
+def of_partials(scope, a: Agg, time: str | None) -> Column:
+    """An aggregate of the values from partial rows."""
+    if a.func == "avg":
+        return F.try_divide(F.sum("value_sum"), F.sum("value_count"))
+    if a.func in ("min", "max"):
+        return F.min("value_min") if a.func == "min" else F.max("value_max")
+    if a.func in ("median", "percentile"):
+        return F.kll_sketch_get_quantile_double(F.kll_merge_agg_double("value_state"), F.lit(0.5 if a.func == "median" else a.param / 100))
+    raise QueryError(f"{a.func} can't be made of a rollup")
+
+
+#: Partial rows as a dataset.
+PARTIALS = Profile("metrics_rollup", "bucket", (), {k: "bucket" if v == "timestamp" else v for k, v in METRICS.aliases.items()}, build=of_partials)
+
+
+def _by_key(x, name) -> bool:
+    """Whether a search asks for nothing but values of the rollup's keys."""
+    if x is None or isinstance(x, Lit) and x.value is True or isinstance(x, Keyword) and x.text == "*":
+        return True
+    if isinstance(x, Op) and x.op == "and":
+        return all(_by_key(y, name) for y in x.args)
+    return isinstance(x, Term) and x.op == "=" and name(x.field) in ("metric_name", "service_name") and not set("*?") & set(str(x.value.value))
+
+
+def routed(q: Query, seconds: float) -> str | None:
+    """The rollup that answers a query over so many seconds: a search by keys and one stats, chart or timechart without
+    series, whose series are ranked by their samples. None for others, which read the raw rows."""
+    name = lambda n: METRICS.aliases.get(n, n)
+    if len(q.stages) != 1 or not _by_key(q.search, name):
+        return None
+    s = q.stages[0]
+    if s.name not in ("stats", "chart", "timechart") or s.name == "timechart" and (s.get("by") or not s.get("span")):
+        return None
+    aggs = s.args["aggs"]
+    if not aggs or not all(isinstance(a.arg, Field) and name(a.arg.name) == "value" and a.where is None and a.func not in ("earliest", "latest") for a in aggs):
+        return None
+    by = tuple(name(n) for n in [*s.get("by", []), *s.get("over", [])])
+    percentiles = tuple(a.param for a in aggs if a.func == "percentile")
+    return route(seconds, [a.func for a in aggs], times.seconds(s.get("span")) if s.get("span") else None, by, percentiles)
+
+
 def red_partials(spans: DataFrame, span: float = 60) -> DataFrame:
     """Requests, errors and a sketch of the durations by service and bucket."""
     error = F.upper("status_code").isin("ERROR", "STATUS_CODE_ERROR", "2")

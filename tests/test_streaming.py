@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 from rivulet.engine import Engine
 from rivulet.plans.errors import QueryError, UnsupportedQuery
-from rivulet.plans.profile import LOGS
+from rivulet.plans.profile import LOGS, METRICS
 from rivulet.streaming import cron, rollups, rules
 
 import pytest
@@ -110,3 +110,25 @@ def test_rules_have_their_own_place_on_a_schedule():
     first = rules.next_run(rule, T0)
     assert first == T0 + at["a"] and rules.next_run(rule, first) == first + timedelta(minutes=5)
     assert cron.next_run("*/5 * * * *", T0, "a", cap=0) == T0 + timedelta(minutes=5)
+
+
+def test_engine_reads_a_rollup_where_it_answers(spark):
+    """The same results from partial rows as from the samples; other queries read the samples."""
+    raw = metrics(spark, 5000).withColumns({"unit": F.lit("s"), "attributes": F.create_map().cast("map<string,string>"), "resource_attributes": F.create_map().cast("map<string,string>")})
+    parts = rollups.metric_partials(raw)
+    tell = Engine(spark, {"metrics": (raw, METRICS)}, default="metrics", rollups={"metrics": {"1m": parts}})
+    plain = Engine(spark, {"metrics": (raw, METRICS)}, default="metrics")
+    end = T0 + timedelta(days=1)
+
+    def routed(text):
+        return "value_sum" in tell.compile(rules.parse(text), None, T0, end).df._jdf.queryExecution().analyzed().toString()
+
+    for text in ("metric_name=m | stats avg(value) as a, min(value) as b, max(value) as c by service", "* | timechart span=1h avg(value) as a, max(value) as b", "service=s1 | stats avg(value) as a"):
+        assert routed(text), text
+        a, b = (sorted(map(repr, e.run(text, T0, end).collect())) for e in (tell, plain))
+        assert a == b and a
+    (m,), (w,) = (e.run("* | stats median(value) as m", T0, end).collect() for e in (tell, plain))
+    assert abs(m.m - w.m) <= 1
+    for text in ("* | stats sum(value) as s", "service=s* | stats avg(value) as a", "* | stats avg(value) as a by unit", "value>3 | stats avg(value) as a", "* | eval x=1 | stats avg(value) as a", "* | timechart span=30s avg(value) as a"):
+        assert not routed(text), text
+    assert tell.run("* | stats sum(value) as s", T0, end).first().s == raw.agg(F.sum("value")).first()[0]
