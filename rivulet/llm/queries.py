@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, digests, langid, mixing, qda, rules, secrets, simhash, toxicity, urls
+from rivulet.llm import bpe, digests, langid, mixing, qda, rules, runs, secrets, simhash, toxicity, urls
 from rivulet.llm.common import fold, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.filter(fold(F.col("doc_id"), 4) != 2))
     labelled = langid.label(docs, ["doc_id"], model)
     return labelled.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, some of which repeat themselves by their id, and the texts without repeats."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return runs.summary(docs, ["doc_id"], code=F.crc32(F.col("doc_id").cast("string")))
