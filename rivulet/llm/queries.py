@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, digests, langid, mixing, qda, rules, runs, secrets, simhash, toxicity, urls
+from rivulet.llm import bpe, digests, langid, mixing, naming, qda, rules, runs, secrets, simhash, toxicity, urls
 from rivulet.llm.common import fold, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,16 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, some of which repeat themselves by their id, and the texts without repeats."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return runs.summary(docs, ["doc_id"], code=F.crc32(F.col("doc_id").cast("string")))
+
+
+@query
+def op12_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays of the equals of every document."""
+    return naming.groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLE["op12_naming"] = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+k AS (SELECT doc_id, sha256(t) AS text_sha256, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+"""
