@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, digests, langid, mixing, naming, qda, rules, runs, secrets, simhash, toxicity, urls
+from rivulet.llm import bpe, digests, langid, mixing, naming, qda, rules, runs, secrets, simhash, toxicity, turns, urls
 from rivulet.llm.common import fold, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 k AS (SELECT doc_id, sha256(t) AS text_sha256, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
+
+
+@query
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation, once damaged, and its cheapest repair."""
+    return turns.repairs(turns.damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
