@@ -198,10 +198,10 @@ def plain_deep(rows):
 
 
 def test_odd_rows(spark):
-    """Nulls in all columns, a conversation that loses all its rows, equal rows in thousands, columns of other names."""
+    """Nulls in all columns, a conversation that loses all its rows, equal rows in hundreds, columns of other names."""
     lost = next((c, t) for c in range(1000) for t in range(9) if zlib.crc32(f"{c}:{t}".encode()) % 20 == 0)
     whole = next(c for c in range(2000, 3000) if zlib.crc32(f"{c}:1".encode()) % 20 > 4)
-    rows = [(*lost, "user", "gone."), (None, None, None, None), (-5, None, "user", None), (-5, None, None, "x")] + [(whole, 1, "user", "hi.")] * 3000
+    rows = [(*lost, "user", "gone."), (None, None, None, None), (-5, None, "user", None), (-5, None, None, "x")] + [(whole, 1, "user", "hi.")] * 400
     df = spark.createDataFrame([(*r, 0, "z") for r in rows], "conv_id long, turn long, role string, text string, kind int, d1 string")
     got = turns.repairs(turns.damaged(df))
     want = damage(rows)
