@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.engine import events_engine
 from rivulet.operators import enrich
-from rivulet.queries import ORACLE, QUERIES
+from rivulet.plans.profile import EVENTS
+from rivulet.queries import NOW, ORACLE, QUERIES
+from rivulet.sources.scratch import folder
+from rivulet.streaming import keyed
+from rivulet.streaming.rules import Rule, realtime
 
 
 def with_sql(sql: str | None):
@@ -72,3 +77,55 @@ def ingest_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", host.alias("domain"))
     rows = pages.filter("page_id % 3 = 0").select(F.col("domain").alias("indicator"), F.lit("seen").alias("threat_type"), F.col("page_id").cast("string").alias("malware"), (F.col("page_id") % 101).cast("int").alias("confidence"), "page_id")
     return enrich.Enricher(indicators=enrich.indicator_table(rows, updated="page_id")).enrich(pages).drop("domain")
+
+
+def _streamed(spark: SparkSession, parts: list[DataFrame], make) -> DataFrame:
+    """What make(stream) has put out once all parts have come, each in micro-batches of its own."""
+    at, n = folder(spark, "stream"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(n), 8)))  # each is a state store
+    try:
+        for i, part in enumerate(parts):
+            part.coalesce(1).write.parquet(f"{at}/in/part={i}")
+            made = make(spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/part=*"))
+            out = made.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+            out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    return spark.read.schema(made.schema).parquet(f"{at}/out")
+
+
+@with_sql(
+    """
+WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 2 HOUR AS apart FROM events),
+g AS (SELECT user_id, ts, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+SELECT user_id, min(ts) AS transaction_start, max(ts) AS transaction_end, count(*) AS eventcount, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration FROM g GROUP BY user_id, k
+"""
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of all events as they come in three parts, each with events of the whole time: the sessions of a batch."""
+    events = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props", "event_id")
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 900 DAYS")).alias("ts"), F.max("user_id").alias("user_id")).select(
+        "ts", "user_id", *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in ("event_type", "value", "props", "event_id")]
+    )
+    third = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    parts = [events.filter(third == 0), events.filter(third == 1), events.filter(third == 2), end]
+    engine = events_engine(spark, sf_dir, now=NOW)
+    return _streamed(spark, parts, lambda s: keyed.streamed(engine, "* | transaction user_id maxpause=2h", s, EVENTS, "800 days"))
+
+
+@with_sql(
+    """
+WITH RECURSIVE e AS (SELECT user_id, ts FROM events WHERE event_type = 'error'),
+n AS (SELECT a.user_id, a.ts, min(b.ts) AS next FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.ts >= a.ts + INTERVAL 2 DAY GROUP BY 1, 2),
+f AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT n.user_id, n.next FROM f JOIN n ON n.user_id = f.user_id AND n.ts = f.ts WHERE n.next IS NOT NULL)
+SELECT 'errors' AS rule, CAST(user_id AS VARCHAR) AS entity, 40 AS score, ts AS timestamp FROM f
+"""
+)
+def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of a real-time rule on all events, two days apart by entity, the query being started again between parts."""
+    rule = Rule("errors", "event_type=error", score=40, entity="user_id")
+    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    cuts = ["1970-01-01", "2024-01-08", "2024-01-20", "9999-01-01"]
+    parts = [events.filter((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(cuts, cuts[1:])]
+    engine = events_engine(spark, sf_dir, now=NOW)
+    return _streamed(spark, parts, lambda s: keyed.cooled(realtime(engine, rule, s, EVENTS), 2 * 86400, "5 days"))
