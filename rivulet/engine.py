@@ -32,7 +32,8 @@ IOC_CAP = 50_000
 class Engine:
     """datasets: name to (frame or factory, profile); `logs` is the default. lookups: name to frame or factory. sinks:
     name to a function of a frame. ai: a function of a frame and a prompt. folders: where files may be looked up.
-    rollups: dataset of metrics to its rollups, name (1m, 1h) to frame or factory of partial rows."""
+    rollups: dataset of metrics to its rollups, name (1m, 1h) to frame or factory of partial rows; other datasets to a
+    Summary with its table."""
 
     def __init__(self, spark: SparkSession, datasets: dict | None = None, lookups: dict | None = None, sinks: dict | None = None, ai: Callable | None = None, folders: tuple[str, ...] = (), default: str = "logs", now: datetime | None = None, rollups: dict | None = None):
         self.spark, self.datasets, self.lookups, self.sinks = spark, dict(datasets or {}), dict(lookups or {}), dict(sinks or {})
@@ -98,19 +99,35 @@ class Engine:
         return self.stages(rows.filtered(st, q.search, search=True), q.stages)
 
     def rollup(self, q: Query, start, end, now) -> State | None:
-        """The partial rows for a query of metrics over a long range that they answer: those of the buckets that begin
-        within the range, so that rows of a first or last part of a bucket come in whole or not at all."""
-        levels = self.rollups.get(q.dataset or self.default)
+        """Partial rows for a query over a long range that they answer: those of the whole buckets in it, and for the
+        parts of buckets at its edges partial rows made of the raw ones. So the range is the same as without them."""
+        name = q.dataset or self.default
+        levels = self.rollups.get(name)
         if not levels or not (start and end):
             return None
-        from rivulet.streaming import rollups
-
-        name = rollups.routed(q, (end - start).total_seconds())
-        if name not in levels:
+        from rivulet.streaming import rollups, summaries
+
+        if isinstance(levels, summaries.Summary):
+            width, make, profile = levels.width, levels.partials, levels.profile(self.datasets[name][1])
+            if not levels.answers(q, self.datasets[name][1]):
+                return None
+            table = levels.table
+        else:
+            level = rollups.routed(q, (end - start).total_seconds())
+            if level not in levels:
+                return None
+            width, table = rollups.WIDTHS[level], levels[level]
+            make, profile = lambda df: rollups.metric_partials(df, width), rollups.PARTIALS
+        if not (whole := rollups.inner(start, end, width)):
+            return None
+        df = table() if callable(table) else table
+        df = df.filter((F.col("bucket") >= F.lit(whole[0])) & (F.col("bucket") < F.lit(whole[1])))
+        for a, b in ((start, whole[0]), (whole[1], end)):
+            if a < b:
+                df = df.unionByName(make(self.scan(name, a, b, now).df), allowMissingColumns=True)
+        if profile is rollups.PARTIALS and rollups.asks_rate(q) and ("value_rise" not in df.columns or rollups.mixed(df)):
             return None
-        df = levels[name]() if callable(levels[name]) else levels[name]
-        df = df.filter((F.col("bucket") >= F.lit(start)) & (F.col("bucket") < F.lit(end)))
-        return State(df, rollups.PARTIALS, self, start, end, now, None)
+        return State(df, profile, self, start, end, now, None)
 
     def scan(self, name: str, start, end, now) -> State:
         if name not in self.datasets:
