@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import datetime
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.engine import events_engine
+from rivulet.engine import Engine, events_engine
 from rivulet.operators import enrich
-from rivulet.plans.profile import EVENTS
-from rivulet.queries import NOW, ORACLE, QUERIES
+from rivulet.plans.profile import EVENTS, METRICS
+from rivulet.queries import NOW, ORACLE, QUERIES, _metrics
 from rivulet.sources.scratch import folder
-from rivulet.streaming import keyed
+from rivulet.streaming import keyed, rollups, summaries
+from rivulet.streaming.ledger import Ledger
 from rivulet.streaming.rules import Rule, realtime
 
 
@@ -129,3 +134,59 @@ def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [events.filter((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(cuts, cuts[1:])]
     engine = events_engine(spark, sf_dir, now=NOW)
     return _streamed(spark, parts, lambda s: keyed.cooled(realtime(engine, rule, s, EVENTS), 2 * 86400, "5 days"))
+
+
+def _routed(spark: SparkSession, sf_dir: str, text: str, start: datetime, end: datetime) -> DataFrame:
+    """A query of metrics that reads partial rows, made by thirds of the time, and raw rows at the range's edges."""
+    raw = _metrics(spark, sf_dir)
+    days = [F.col("timestamp") < "2024-01-11", (F.col("timestamp") >= "2024-01-11") & (F.col("timestamp") < "2024-01-21"), F.col("timestamp") >= "2024-01-21"]
+    parts = reduce(DataFrame.unionByName, [rollups.metric_partials(raw.filter(d)) for d in days])
+    engine = Engine(spark, {"metrics": (raw, METRICS)}, default="metrics", now=NOW, rollups={"metrics": {"1h": rollups.metric_merge(parts, 3600)}})
+    return engine.run(text, start, end)
+
+
+_M = "(SELECT 'm_' || event_type AS m, 'svc-' || user_id % 5 AS s, ts, value AS v FROM events WHERE ts >= TIMESTAMP '2024-01-02 03:04:05' AND ts < TIMESTAMP '2024-01-28 17:40:00')"
+
+
+@with_sql(
+    f"""
+WITH e AS {_M}, d AS (SELECT *, CASE WHEN v >= lag(v) OVER w THEN v - lag(v) OVER w WHEN lag(v) OVER w IS NOT NULL THEN v END AS up FROM e WINDOW w AS (PARTITION BY m, s ORDER BY ts, v))
+SELECT m AS metric_name, s AS service_name, arg_min(v, ts) AS a, arg_max(v, ts) AS b, min(v) AS c, max(v) AS d,
+       CASE WHEN count(*) > 1 THEN round(sum(up) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) END AS f FROM d GROUP BY 1, 2
+"""
+)
+def rollup_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First, last, extremes and rate of counters over weeks, from hourly partial rows."""
+    text = "* | stats earliest(value) as a, latest(value) as b, min(value) as c, max(value) as d, rate(value) as f by metric_name service_name"
+    return _routed(spark, sf_dir, text, datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 28, 17, 40)).withColumn("f", F.round("f", 9))
+
+
+@with_sql(
+    """
+SELECT event_type, count(*) AS count, count(DISTINCT user_id) AS exact, true AS near FROM events
+WHERE ts >= TIMESTAMP '2024-01-02 03:04:05' AND ts < TIMESTAMP '2024-01-28 17:40:00' GROUP BY 1
+"""
+)
+def summary_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """estdc of users by kind from hourly sketches: counts are exact, estimates within two per cent."""
+    start, end = datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 28, 17, 40)
+    raw = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    made = summaries.Summary(("event_type",), ("user_id",), "ts")
+    halves = [made.partials(raw.filter(F.pmod("event_id", F.lit(2)) == k)) for k in (0, 1)]
+    table = made.merge(halves[0].unionByName(halves[1]))
+    engine = Engine(spark, {"logs": (raw, EVENTS)}, now=NOW, rollups={"logs": replace(made, table=table)})
+    told = engine.run("* | stats count, estdc(user_id) as est by event_type", start, end)
+    exact = engine.run("* | stats dc(user_id) as exact by event_type", start, end)
+    return told.join(exact, "event_type").select("event_type", "count", "exact", (F.abs(F.col("est") - F.col("exact")) <= 0.02 * F.col("exact")).alias("near"))
+
+
+@with_sql("SELECT event_type AS source, time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS events, max(ts) AS newest FROM events GROUP BY 1, 2")
+def ledger_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by source and five minutes, added in batches of which one is repeated, and merged in between."""
+    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    partials = lambda df: rollups.source_partials(df, "event_type", "ts")
+    book = Ledger(spark, folder(spark, "ledger"), partials(events).schema)
+    for i in (0, 1, 1, 2, 3):
+        if book.append(partials(events.filter(F.pmod("event_id", F.lit(4)) == i)), i):
+            book.compact(rollups.source_merge, fan=2)
+    return rollups.source_merge(book.read())
