@@ -33,12 +33,13 @@ class Engine:
     """datasets: name to (frame or factory, profile); `logs` is the default. lookups: name to frame or factory. sinks:
     name to a function of a frame. ai: a function of a frame and a prompt. folders: where files may be looked up.
     rollups: dataset of metrics to its rollups, name (1m, 1h) to frame or factory of partial rows; other datasets to a
-    Summary with its table."""
+    Summary with its table. first_seen: name of a profile to its ledger of first sightings, which baselines read.
+    trace_index: frame or factory of trace_id, start, end, from which a trace's place in time is read."""
 
-    def __init__(self, spark: SparkSession, datasets: dict | None = None, lookups: dict | None = None, sinks: dict | None = None, ai: Callable | None = None, folders: tuple[str, ...] = (), default: str = "logs", now: datetime | None = None, rollups: dict | None = None):
+    def __init__(self, spark: SparkSession, datasets: dict | None = None, lookups: dict | None = None, sinks: dict | None = None, ai: Callable | None = None, folders: tuple[str, ...] = (), default: str = "logs", now: datetime | None = None, rollups: dict | None = None, first_seen: dict | None = None, trace_index=None):
         self.spark, self.datasets, self.lookups, self.sinks = spark, dict(datasets or {}), dict(lookups or {}), dict(sinks or {})
         self.ai, self.folders, self.default, self.now = ai, folders, default, now
-        self.rollups = dict(rollups or {})
+        self.rollups, self.first_seen, self.trace_index = dict(rollups or {}), dict(first_seen or {}), trace_index
         self._small: dict[str, bool] = {}
         self._ranges: dict = {}
 
@@ -136,16 +137,27 @@ class Engine:
         df = df() if callable(df) else df
         kinds = {f.name: f.dataType for f in df.schema}
         if profile.time in kinds and name != "risk":  # risk looks back by itself
-            # On the column as it is stored, so that the scan can skip by it.
-            t, at = F.col(f"`{profile.time}`"), lambda x: F.lit(x).cast(kinds[profile.time])
-            df = df.filter(t >= at(start)) if start else df
-            df = df.filter(t < at(end)) if end else df
+            df = self.within(df, profile, start, end)
         plain = [n for n, k in kinds.items() if isinstance(k, T.TimestampNTZType)]
         if plain:  # the session is in UTC
             df = df.withColumns({n: F.col(f"`{n}`").cast("timestamp") for n in plain})
         order = ((profile.time, True),) if profile.time in df.columns else None
         return State(df, profile, self, start, end, now, order)
 
+    def within(self, df: DataFrame, profile: Profile, start, end) -> DataFrame:
+        """The rows of [start, end): by the column as it is stored, so that the scan can skip by it, and by days where
+        the dataset is partitioned by them."""
+        kinds = {f.name: f.dataType for f in df.schema}
+        t, at = F.col(f"`{profile.time}`"), lambda x: F.lit(x).cast(kinds[profile.time])
+        day = F.col(f"`{profile.day}`").cast("date") if profile.day in kinds else None
+        if start:
+            df = df.filter(t >= at(start))
+            df = df.filter(day >= F.lit(start.date())) if day is not None else df
+        if end:
+            df = df.filter(t < at(end))
+            df = df.filter(day <= F.lit(end.date())) if day is not None else df
+        return df
+
     def stages(self, st: State, stages: list[Stage]) -> State:
         for s in stages:
             if s.name == "risk" and st.profile.name == "risk":

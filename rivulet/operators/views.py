@@ -106,10 +106,15 @@ DIMENSIONS = ("process_name", "dest_host", "dest_ip", "dest_port", "user", "acti
 MOST_CURRENT, MOST_WINDOW, ENOUGH_DAYS, ENOUGH_EVENTS = 7, 90, 3, 50
 
 
-def first_seen(df, entity: Column, dims: list[str], time: str):
-    """entity, dim, val, day, first_seen, event_count: one pass over the events for all dimensions."""
-    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), q(d).cast("string").alias("val")) for d in dims])
-    each = df.select(entity.cast("string").alias("entity"), q(time).alias("t"), F.explode(pairs).alias("x"))
+#: The dimension under which the events of an entity and day are counted, whatever their values.
+EVENTS_OF_DAY = "*"
+
+
+def first_seen(df, entity: Column, dims: list[str], time: str, whole: bool = False):
+    """entity, dim, val, day, first_seen, event_count: one pass over the events for all dimensions. whole: with a row of
+    all events of an entity and day, under EVENTS_OF_DAY."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), q(d).cast("string").alias("val")) for d in dims], *([F.struct(F.lit(EVENTS_OF_DAY).alias("dim"), F.lit(EVENTS_OF_DAY).alias("val"))] if whole else []))
+    each = df.select(entity.cast("string").alias("entity"), q(time).cast("timestamp").alias("t"), F.explode(pairs).alias("x"))
     each = each.select("entity", "t", "x.dim", "x.val").filter("entity is not null and val is not null and val <> ''")
     return each.groupBy("entity", "dim", "val", F.to_date("t").alias("day")).agg(F.min("t").alias("first_seen"), F.count("*").alias("event_count"))
 
@@ -132,11 +137,19 @@ def baseline(st: State, a: dict) -> State:
     source = st.engine.source(st)
     s2 = st.to(source)
     known = s2.scope().column(name).string()
-    before = source.filter((q(st.time) >= F.lit(first - timedelta(seconds=window))) & (q(st.time) < F.lit(first)) & matches(known, a[kind]))
+    start = first - timedelta(seconds=window)
     now = st.df.filter((q(st.time) >= F.lit(first)) & matches(entity, a[kind]))
-    old = first_seen(before, known, dims, st.time)
     new = first_seen(now, entity, dims, st.time).groupBy("entity", "dim", "val").agg(F.min("first_seen").alias("first_seen"), F.sum("event_count").alias("event_count"))
-    facts = before.agg(F.count_distinct(F.to_date(q(st.time))).alias("d"), F.count("*").alias("n"))
+    told = st.engine.first_seen.get(st.profile.name)
+    if told and kind in told.entities and set(dims) <= set(told.dims) and told.entities[kind] in source.columns:
+        # Complete days are read from the ledger, the rest of the window from the events.
+        rows = told.between(source, kind, start, first).filter(matches(F.col("entity"), a[kind]))
+        old = rows.filter(F.col("dim").isin(dims))
+        facts = rows.filter(F.col("dim") == EVENTS_OF_DAY).agg(F.count_distinct("day").alias("d"), F.coalesce(F.sum("event_count"), F.lit(0)).alias("n"))
+    else:
+        before = source.filter((q(st.time) >= F.lit(start)) & (q(st.time) < F.lit(first)) & matches(known, a[kind]))
+        old = first_seen(before, known, dims, st.time)
+        facts = before.agg(F.count_distinct(F.to_date(q(st.time))).alias("d"), F.count("*").alias("n"))
     coverage = F.when(F.col("n") == 0, "no_history").when((F.col("d") >= ENOUGH_DAYS) & (F.col("n") >= ENOUGH_EVENTS), "sufficient").otherwise("thin")
     out = new.join(old.select("entity", "dim", "val").distinct(), ["entity", "dim", "val"], "left_anti")
     out = out.crossJoin(F.broadcast(facts.select(coverage.alias("coverage"))))  # one row
@@ -222,7 +235,22 @@ def service(st: State, a: dict) -> State:
 def trace(st: State, a: dict) -> State:
     if not a.get("value"):
         raise QueryError("trace needs an id")
-    return st.to(st.df.filter(F.col("trace_id") == a["value"]), order=(("start_time", False),))
+    df = st.df
+    if (index := st.engine.trace_index) is not None:
+        # One row: where in time the trace lies, so that the scan of spans skips the rest.
+        at = (index() if callable(index) else index).filter(F.col("trace_id") == a["value"]).agg(F.min("start").alias("lo"), F.max("end").alias("hi")).first()
+        if at["lo"] is not None:
+            df = st.engine.within(df, st.profile, at["lo"], at["hi"] + timedelta(microseconds=1))
+    return st.to(df.filter(F.col("trace_id") == a["value"]), order=(("start_time", False),))
+
+
+def trace_times(df):
+    """trace_id, start, end: partial rows of a trace index, which merge by the least and the greatest."""
+    return df.filter("trace_id IS NOT NULL").groupBy("trace_id").agg(F.min("start_time").alias("start"), F.max("start_time").alias("end"))
+
+
+def merged_trace_times(partials):
+    return partials.groupBy("trace_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def recent_traces(df):

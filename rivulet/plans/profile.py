@@ -15,7 +15,7 @@ class Profile:
     """time: the time column. body: columns that keywords search. aliases: other names of columns. json: columns of
     JSON text in which an unknown name is a path. maps: columns of maps in which it is a key, in order. enums: names
     for the numbers of a column. empty_is_absent: whether isnull, coalesce and fillnull take '' for absent. build: how an aggregate is made
-    of the columns, where these are partial states."""
+    of the columns, where these are partial states. day: a column of the time's day (UTC) by which the dataset is partitioned."""
 
     name: str
     time: str
@@ -28,6 +28,7 @@ class Profile:
     entity: tuple[str, ...] = ("user", "src_host", "host", "src_ip", "dest_ip")
     empty_is_absent: bool = False
     build: Callable | None = None
+    day: str | None = None
 
     def resolve(self, name: str, schema: StructType, created: frozenset[str]) -> tuple[Column, DataType] | None:
         """The column of a name; a column that a stage created goes before an alias. None if there is none."""
