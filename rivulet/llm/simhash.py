@@ -42,7 +42,8 @@ class Ring:
     """shingle: words in a shingle. lanes: of 64 bits. bits: most differing bits of a link, used for budgets. widths: of
     the segments, which make up the ring. words: of 64 bits that a row carries, from its segment on. keys: segments in
     a key, 1 or 2. repeats: whether repeats of a shingle count. dealt: chains begin at so many segments, or at all. flip and
-    margin: chains get their bits' share of flip, and so many standard deviations more, instead of their share of bits."""
+    margin: a chain gets, for the bits behind its first segment, the share flip and so many standard deviations more, instead
+    of its share of bits."""
 
     shingle: int = 4
     lanes: int = 1
@@ -58,7 +59,7 @@ class Ring:
     def budget(self, c: int) -> int:
         if self.flip is None:
             return self.bits * c // len(self.widths)
-        n = max(self.widths) * c
+        n = max(self.widths) * (c - 1)  # the first segment is equal
         return int(n * self.flip + self.margin * (n * self.flip * (1 - self.flip)) ** 0.5)
 
     def shift(self) -> int:
