@@ -198,9 +198,15 @@ def sequence(st: State, a: dict) -> State:
     return st.rows(out, order=((st.time, True),), aliases=dict(st.profile.aliases))
 
 
-def _reached(df: DataFrame, keys: list[str], steps: int, window: int | None) -> DataFrame:
-    """Of each key that reached a step: level, the longest prefix of the steps within the window from a first step, and
-    idle, the seconds from there to the key's last event. A step follows the latest chain that reached the step before."""
+#: Fields of which a funnel tells the most frequent values among those who went no further, where the dataset has them.
+DROPPER_FIELDS = ("src_ip", "dest_ip", "user", "src_host", "dest_host", "url", "domain", "user_agent", "action", "enriched_src_country")
+TOP_VALUES = 5
+
+
+def _reached(df: DataFrame, keys: list[str], steps: int, window: int | None, fields: int = 0) -> DataFrame:
+    """Of each key that reached a step: level, the longest prefix of the steps within the window from a first step, idle,
+    the seconds from there to the key's last event, and __a0, __a1 …, the key's latest values of __x0, __x1 … as text.
+    A step follows the latest chain that reached the step before."""
     by = [q(k) for k in keys]
     before = W.partitionBy(*by).orderBy("__t", "__id").rowsBetween(W.unboundedPreceding, -1)
     df = df.withColumn("__start0", F.when(F.col("__c0"), F.col("__t")))
@@ -209,22 +215,43 @@ def _reached(df: DataFrame, keys: list[str], steps: int, window: int | None) ->
         fits = F.col(f"__c{i}") if window is None else F.col(f"__c{i}") & (F.col("__t") - F.col("__from") <= window)
         df = df.withColumn(f"__start{i}", F.when(fits, F.col("__from")))
     firsts = [F.min(F.when(F.col(f"__start{i}").isNotNull(), F.col("__t"))).alias(f"__first{i}") for i in range(steps)]
-    of_key = df.groupBy(*by).agg(F.max("__t").alias("__last"), *firsts).filter("__first0 is not null")
+    value = lambda i: F.col(f"__x{i}").cast("string")
+    latest = [F.max_by(value(i), F.when(value(i).isNotNull(), F.struct("__t", "__id", value(i)))).alias(f"__a{i}") for i in range(fields)]
+    of_key = df.groupBy(*by).agg(F.max("__t").alias("__last"), *firsts, *latest).filter("__first0 is not null")
     level, at = F.lit(1), F.col("__first0")
     for i in range(1, steps):
         level = F.when(F.col(f"__first{i}").isNotNull(), i + 1).otherwise(level)
         at = F.coalesce(f"__first{i}", at)
-    return of_key.select(*by, level.alias("level"), ((F.col("__last") - at) / 1e6).alias("idle"))
+    return of_key.select(*by, level.alias("level"), ((F.col("__last") - at) / 1e6).alias("idle"), *[f"__a{i}" for i in range(fields)])
+
+
+def _top_values(reached: DataFrame, fields: list[str]) -> DataFrame:
+    """level and top: JSON of the most frequent values of each field among the keys that stopped there, with their
+    number and share. All keys are counted, not a sample of them."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"__a{i}").alias("value")) for i in range(len(fields))])
+    counts = reached.select("level", F.explode(pairs).alias("p")).select("level", "p.*").filter("value <> ''").groupBy("level", "f", "value").agg(F.count("*").alias("count"))
+    # The best of each task are picked before they meet.
+    best = W.partitionBy("level", "f").orderBy(F.desc("count"), "value")
+    some = counts.withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= TOP_VALUES)
+    all_ = reached.groupBy("level").agg(F.count("*").alias("n"))
+    some = some.join(F.broadcast(all_), "level")  # a row for each level
+    name = F.get(F.array(*map(F.lit, fields)), F.col("f"))
+    one = F.struct("f", "__k", F.struct(name.alias("field"), "value", "count", F.round(100 * F.col("count") / F.col("n"), 1).alias("pct")).alias("x"))
+    return some.groupBy("level").agg(F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda r: r["x"])).alias("top"))
 
 
 def funnel(st: State, a: dict) -> State:
-    """A row for each level: how many keys reached it, and how many went no further and were then idle for how long."""
+    """A row for each level: how many keys reached it, how many went no further and were then idle for how long, and as
+    dropper_top_attrs what these had in common: JSON of field, value, count and pct, the TOP_VALUES most frequent of each
+    of DROPPER_FIELDS, by their latest event with a value."""
     keys, n = a["by"], len(a["steps"])
     scope = st.scope()
-    df, _ = _events(st, keys, {f"__c{i}": scope.search(s) for i, s in enumerate(a["steps"])}, [])
+    real = lambda f: f if f in st.df.columns else st.profile.aliases.get(f, f)
+    fields = [f for f in DROPPER_FIELDS if real(f) in st.df.columns and real(f) not in {real(k) for k in keys}]
+    df, _ = _events(st, keys, {f"__c{i}": scope.search(s) for i, s in enumerate(a["steps"])}, fields)
     span = a.get("window") or a.get("maxspan")
     window = int(times.seconds(span) * 1e6) if span else None
-    reached = _reached(df, keys, n, window)
+    reached = _reached(df, keys, n, window, len(fields))
     ends = reached.groupBy("level").agg(F.count("*").alias("n"), F.percentile("idle", F.lit(0.5)).alias("idle"))
     names = [a["names"][i] or f"step{i + 1}" for i in range(n)]
     levels = st.df.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(names)], "funnel_level int, step_name string")
@@ -236,6 +263,10 @@ def funnel(st: State, a: dict) -> State:
         F.coalesce(F.sum(F.when(own & ~last, F.col("n"))), F.lit(0)).alias("dropper_count"),
         F.max(F.when(own & ~last, F.col("idle"))).alias("dropper_median_idle_s"),
     )
+    if fields:
+        tops = _top_values(reached.filter(F.col("level") < n), fields)
+        out = out.join(F.broadcast(tops), F.col("level") == F.col("funnel_level"), "left").drop("level")
+    out = out.withColumn("dropper_top_attrs", F.coalesce(F.col("top") if fields else F.lit(None).cast("string"), F.lit("[]"))).drop("top")
     return st.rows(out, order=(("funnel_level", False),))
 
 

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import datetime
+from datetime import date, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.engine import Engine, events_engine
-from rivulet.operators import enrich
-from rivulet.plans.profile import EVENTS, METRICS
-from rivulet.queries import NOW, ORACLE, QUERIES, _metrics
+from rivulet.operators import enrich, views
+from rivulet.plans.profile import EVENTS, LOGS, METRICS, SPANS
+from rivulet.queries import NOW, ORACLE, QUERIES, _metrics, _spans
 from rivulet.sources.scratch import folder
 from rivulet.streaming import keyed, rollups, summaries
+from rivulet.streaming.firstseen import FirstSeen
 from rivulet.streaming.ledger import Ledger
 from rivulet.streaming.rules import Rule, realtime
 
@@ -190,3 +191,46 @@ def ledger_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         if book.append(partials(events.filter(F.pmod("event_id", F.lit(4)) == i)), i):
             book.compact(rollups.source_merge, fan=2)
     return rollups.source_merge(book.read())
+
+
+@with_sql(
+    """
+WITH e AS (SELECT user_id, ts, event_type, event_id, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t0 FROM events),
+k AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN ts END) AS f0, min(CASE WHEN event_type = 'signup' AND ts - t0 <= INTERVAL 30 MINUTE THEN ts END) AS f1, max(ts) AS last, arg_max(event_type, ts) AS action FROM e GROUP BY 1),
+r AS (SELECT CASE WHEN f1 IS NULL THEN 1 ELSE 2 END AS level, (epoch_us(last) - epoch_us(f0)) / 1e6 AS idle, action FROM k WHERE f0 IS NOT NULL),
+v AS (SELECT action, count(*) AS n FROM r WHERE level = 1 GROUP BY 1), t AS (SELECT count(*) AS n FROM r WHERE level = 1),
+j AS (SELECT '[' || string_agg('{"field":"action","value":"' || action || '","count":' || v.n || ',"pct":' || round(100.0 * v.n / t.n, 1) || '}', ',' ORDER BY v.n DESC, action) || ']' AS top FROM v, t)
+SELECT 1 AS funnel_level, count(*) AS count, count(*) FILTER (level = 1) AS dropper_count, round(quantile_cont(idle, 0.5) FILTER (level = 1), 3) AS dropper_median_idle_s, coalesce(max(top), '[]') AS dropper_top_attrs FROM r, j
+UNION ALL SELECT 2, count(*) FILTER (level = 2), 0, NULL, '[]' FROM r
+"""
+)
+def funnel_droppers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who bought and did not sign up within half an hour: how many, how long idle, and what they did last."""
+    got = events_engine(spark, sf_dir, now=NOW).run("* | funnel by user_id window=30m [event_type=purchase] [event_type=signup]")
+    return got.select("funnel_level", "count", "dropper_count", F.round("dropper_median_idle_s", 3).alias("dropper_median_idle_s"), "dropper_top_attrs")
+
+
+@with_sql(
+    """
+WITH h AS (SELECT ts, user_id, CASE WHEN value > 60 THEN 'x' || (event_id % 101) END AS url FROM events),
+o AS (SELECT DISTINCT user_id, url FROM h WHERE url IS NOT NULL AND ts >= TIMESTAMP '2024-01-12 06:00:00' AND ts < TIMESTAMP '2024-01-25')
+SELECT CAST(h.user_id AS VARCHAR) AS entity, 'url' AS dim, h.url AS val, min(ts) AS first_seen, count(*) AS event_count FROM h LEFT JOIN o ON o.user_id = h.user_id AND o.url = h.url
+WHERE h.url IS NOT NULL AND o.url IS NULL AND ts >= TIMESTAMP '2024-01-25' AND ts < TIMESTAMP '2024-01-31' GROUP BY h.user_id, h.url
+"""
+)
+def baseline_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New values of all users against a ledger of which some days are there, and raw events for the rest."""
+    e = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").cast("string").alias("user"), F.when(F.col("value") > 60, F.concat(F.lit("x"), (F.col("event_id") % 101))).alias("url"))
+    seen = FirstSeen(spark, folder(spark, "seen"), {"user": "user"}, ("url",), "timestamp")
+    seen.build(e, [date(2024, 1, d) for d in (11, 12, 14, 15, 16, 20, 23, 24)])
+    engine = Engine(spark, {"logs": (e, LOGS)}, now=NOW, first_seen={"logs": seen})
+    return engine.run("* | baseline user=* window=306h dims=url | table entity dim val first_seen event_count", datetime(2024, 1, 25), datetime(2024, 1, 31))
+
+
+@with_sql("SELECT CAST(event_id AS VARCHAR) AS span_id FROM events WHERE user_id = 11")
+def trace_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace's spans, from its place in time as an index of partial rows has it."""
+    spans = _spans(spark, sf_dir)
+    halves = [views.trace_times(spans.filter(F.pmod(F.xxhash64("span_id"), F.lit(2)) == k)) for k in (0, 1)]
+    index = views.merged_trace_times(halves[0].unionByName(halves[1]))
+    return Engine(spark, {"spans": (spans, SPANS)}, default="spans", now=NOW, trace_index=index).run("* | trace 11 | table span_id")

@@ -99,3 +99,30 @@ def test_funnel(engine, events, window):
         idle = sorted((v[-1][0] - longest(v, steps, window)[1]) * 60 for v in by_key(events).values() if longest(v, steps, window)[0] == i + 1)
         n = len(idle)
         assert r["dropper_median_idle_s"] == (None if not n else (idle[n // 2] + idle[(n - 1) // 2]) / 2)
+
+
+def test_funnel_droppers(spark):
+    """The latest values of those who stopped, counted over all of them."""
+    import json
+    from collections import Counter
+
+    r, rows = random.Random(9), []
+    for k in range(1500):
+        for m in sorted(r.sample(range(600), r.randrange(1, 6))):
+            rows.append((T0 + timedelta(minutes=m), f"u{k}", r.choice("abx"), r.choice((None, "", "h1", "h1", "h2", "h3", f"h{k % 40}")), r.choice(("ok", "fail"))))
+    df = spark.createDataFrame(rows, "timestamp timestamp, user string, kind string, src_host string, action string")
+    got = Engine(spark, {"logs": (df.repartition(5), LOGS)}).run("* | funnel by user window=3h [kind=a] [kind=b] [kind=a]").collect()
+    by = {}
+    for t, k, kind, host, action in sorted(rows, key=lambda x: x[0]):
+        e = by.setdefault(k, {"events": [], "src_host": None, "action": None})
+        e["events"].append(((t - T0).total_seconds() / 60, kind))
+        e["src_host"], e["action"] = host if host is not None else e["src_host"], action
+    level = {k: longest(e["events"], ["a", "b", "a"], 180)[0] for k, e in by.items()}
+    for i in (1, 2):
+        stopped = [e for k, e in by.items() if level[k] == i]
+        want = []
+        for f in ("src_host", "action"):
+            tally = Counter(e[f] for e in stopped if e[f])
+            want += [{"field": f, "value": v, "count": n, "pct": round(100 * n / len(stopped) + 1e-9, 1)} for v, n in sorted(tally.items(), key=lambda x: (-x[1], x[0]))[:5]]
+        assert json.loads(got[i - 1]["dropper_top_attrs"]) == want and want
+    assert got[2]["dropper_top_attrs"] == "[]"
