@@ -13,6 +13,7 @@ from rivulet.engine import Engine, events_engine
 from rivulet.operators import enrich, views
 from rivulet.plans.profile import EVENTS, LOGS, METRICS, SPANS
 from rivulet.queries import NOW, ORACLE, QUERIES, _metrics, _spans
+from rivulet.sources import ingest
 from rivulet.sources.scratch import folder
 from rivulet.streaming import keyed, rollups, summaries
 from rivulet.streaming.firstseen import FirstSeen
@@ -234,3 +235,31 @@ def trace_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = [views.trace_times(spans.filter(F.pmod(F.xxhash64("span_id"), F.lit(2)) == k)) for k in (0, 1)]
     index = views.merged_trace_times(halves[0].unionByName(halves[1]))
     return Engine(spark, {"spans": (spans, SPANS)}, default="spans", now=NOW, trace_index=index).run("* | trace 11 | table span_id")
+
+
+@with_sql(
+    """
+SELECT CAST(user_id AS VARCHAR) AS trace_id, lower(to_hex(event_id)) AS span_id, ts AS start_time, CAST(round(value * 1000000) AS BIGINT) AS duration_ns, 'svc-' || user_id % 5 AS service_name,
+       event_type AS span_name, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status_code, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, NULL AS reason FROM events WHERE event_id % 97 <> 0
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'span without trace id' FROM events WHERE event_id % 97 = 0
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not JSON of this shape' FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) FROM events)
+"""
+)
+def ingest_otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a collector would send them, a body for each user and day and a broken one beside it, taken apart;
+    spans without an id of a trace and broken bodies with their reason."""
+    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    text = lambda key, c: F.struct(F.lit(key).alias("key"), F.struct(c.cast("string").alias("stringValue")).alias("value"))
+    start = F.unix_micros("ts") * 1000
+    span = F.struct(
+        F.when(F.col("event_id") % 97 == 0, "").otherwise(F.col("user_id").cast("string")).alias("traceId"), F.hex("event_id").alias("spanId"), F.col("event_type").alias("name"), start.cast("string").alias("startTimeUnixNano"),
+        (start + F.round(F.col("value") * 1e6).cast("long")).cast("string").alias("endTimeUnixNano"), F.array(text("k", F.get_json_object("props", "$.k"))).alias("attributes"),
+        F.struct(F.when(F.col("event_type") == "error", 2).otherwise(1).alias("code")).alias("status"),
+    )
+    days = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_list(span).alias("spans"))  # a user's day
+    resource = F.struct(F.array(text("service.name", F.concat(F.lit("svc-"), F.col("user_id") % 5))).alias("attributes"))
+    body = F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans")))
+    bodies = days.select(F.explode(F.array(body, F.substring(body, 1, 40))).alias("value"))
+    rows, bad = ingest.spans(bodies)
+    cols = ["trace_id", "span_id", "start_time", "duration_ns", "service_name", "span_name", "status_code"]
+    return rows.select(*cols, F.col("attributes")["k"].alias("k")).unionByName(bad.select("reason"), allowMissingColumns=True)
