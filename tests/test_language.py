@@ -93,3 +93,26 @@ def test_large_subsearches_lose_nothing(spark):
     run = lambda t: Engine(spark, {"logs": (logs, Profile("logs", "ts"))}).run(t).first().n
     assert run("id IN [search id<20001 | fields id] | stats count as n") == 20_001
     assert run("id NOT IN [search id<20001 | fields id] | stats count as n") == 9_999
+
+
+def test_budgets_after_names_are_replaced(spark):
+    """A chain that doubles is refused before it is planned; as many plain stages as are allowed pass."""
+    from rivulet.plans.parser import parse
+
+    doubling = "* | eval a0=value" + "".join(f" | eval a{i + 1}=a{i}+a{i}" for i in range(20))
+    with pytest.raises(QueryError, match="names are replaced"):
+        parse(doubling)
+    parse("* | eval a0=value" + "".join(f" | eval a{i + 1}=a{i}+1" for i in range(20)))
+    parse("*" + " | where value>1" * 256)
+    for bad in (
+        "*" + " | where value>1" * 257,
+        "*" + " | where value>1" * 200 + " | append [search *" + " | where value>1" * 60 + "]",
+        "* | eval h=value" + " | eval h=" + "abs(" * 20 + "h" + ")" * 20 + (" | eval h=" + "abs(" * 20 + "h" + ")" * 20) * 3,
+        "* | eval a=1+1+1+1" + "".join(f" | eval a=a+a" for _ in range(13)) + "".join(f" | where a>{i}" for i in range(20)),
+    ):
+        with pytest.raises(QueryError):
+            parse(bad)
+    # What a stats gives stands for itself; a renamed name for what it was.
+    parse("* | eval a0=value" + "".join(f" | eval a{i + 1}=a{i}+a{i}" for i in range(14)) + " | stats max(a14) as a0" + "".join(f" | eval a{i + 1}=a{i}+a{i}" for i in range(14)))
+    with pytest.raises(QueryError):
+        parse("* | eval a=value" + " | eval b=a+a | rename b as a" * 20)
