@@ -34,12 +34,14 @@ class Engine:
     name to a function of a frame. ai: a function of a frame and a prompt. folders: where files may be looked up.
     rollups: dataset of metrics to its rollups, name (1m, 1h) to frame or factory of partial rows; other datasets to a
     Summary with its table. first_seen: name of a profile to its ledger of first sightings, which baselines read.
-    trace_index: frame or factory of trace_id, start, end, from which a trace's place in time is read."""
+    trace_index: frame or factory of trace_id, start, end, from which a trace's place in time is read. split_keys: whether
+    running aggregates by key split keys of many rows over tasks, at the cost of two more passes over their columns."""
 
-    def __init__(self, spark: SparkSession, datasets: dict | None = None, lookups: dict | None = None, sinks: dict | None = None, ai: Callable | None = None, folders: tuple[str, ...] = (), default: str = "logs", now: datetime | None = None, rollups: dict | None = None, first_seen: dict | None = None, trace_index=None):
+    def __init__(self, spark: SparkSession, datasets: dict | None = None, lookups: dict | None = None, sinks: dict | None = None, ai: Callable | None = None, folders: tuple[str, ...] = (), default: str = "logs", now: datetime | None = None, rollups: dict | None = None, first_seen: dict | None = None, trace_index=None, split_keys: bool = False):
         self.spark, self.datasets, self.lookups, self.sinks = spark, dict(datasets or {}), dict(lookups or {}), dict(sinks or {})
         self.ai, self.folders, self.default, self.now = ai, folders, default, now
         self.rollups, self.first_seen, self.trace_index = dict(rollups or {}), dict(first_seen or {}), trace_index
+        self.split_keys = split_keys
         self._small: dict[str, bool] = {}
         self._ranges: dict = {}
 

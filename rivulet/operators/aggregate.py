@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rivulet.functions import aggregates as ag
+from rivulet.operators import running
 from rivulet.operators.rows import q
 from rivulet.plans import times
 from rivulet.plans.ast import Agg, Field
@@ -166,25 +167,43 @@ def streamstats(st: State, a: dict) -> State:
     last = 0 if current else -1
     first = W.unboundedPreceding if not n else last - n + 1
     ties = [q(c) for c in ("id", "event_id") if c in st.df.columns]
-    w = W.partitionBy(*[q(b) for b in by]).orderBy(q(st.time).asc_nulls_first(), *ties).rowsBetween(first, last)
-    scope, df = st.scope(), st.df
-    for agg, name in zip(a["aggs"], names):
-        if agg.func in ("dc", "distinct_count"):
-            df = df.withColumn(name, F.size(F.collect_set(ag.present(scope.compile(agg.arg))).over(w)))
-        elif agg.func in ("last", "latest", "first", "earliest"):
-            f = F.last if agg.func in ("last", "latest") else F.first
-            df = df.withColumn(name, f(scope.compile(agg.arg).col).over(w))
-        else:
-            df = df.withColumn(name, over(ag.build(scope, agg, None), agg, scope, w))
+    order = [q(st.time).asc_nulls_first(), *ties]
+    w = W.partitionBy(*[q(b) for b in by]).orderBy(*order).rowsBetween(first, last)
+    scope = st.scope()
+
+    def made(df: DataFrame, w) -> DataFrame:
+        for agg, name in zip(a["aggs"], names):
+            if agg.func in ("dc", "distinct_count"):
+                df = df.withColumn(name, F.size(F.collect_set(ag.present(scope.compile(agg.arg))).over(w)))
+            elif agg.func in ("last", "latest", "first", "earliest"):
+                f = F.last if agg.func in ("last", "latest") else F.first
+                df = df.withColumn(name, f(scope.compile(agg.arg).col).over(w))
+            else:
+                df = df.withColumn(name, over(ag.build(scope, agg, None), agg, scope, w))
+        return df
+
+    for agg in a["aggs"]:
+        over_checked(agg)
+    # Without keys all rows would be one task's, and with them those of a hot key.
+    split = not by or st.engine.split_keys
+    if split and n:
+        df = running.last_rows(st.df, made, by, st.time, order, n, last)
+    elif split and running.can_add(a["aggs"]):
+        df = running.added(st.df, scope, a["aggs"], names, by, st.time, [q(st.time), *ties], last)
+    else:
+        df = made(st.df, w)
     return st.to(df, created=st.created | set(names))
 
 
+def over_checked(agg: Agg) -> None:
+    if agg.func in ("values", "list", "rate", "histogram_quantile", "sparkline"):
+        raise QueryError(f"{agg.func} is not for streamstats")
+
+
 def over(c, agg: Agg, scope, w):
     if agg.func == "range":
         x = scope.compile(agg.arg).number()
         return F.max(x).over(w) - F.min(x).over(w)
-    if agg.func in ("values", "list", "rate", "histogram_quantile", "sparkline"):
-        raise QueryError(f"{agg.func} is not for streamstats")
     return c.over(w)
 
 

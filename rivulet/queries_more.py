@@ -213,3 +213,15 @@ def day_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["day_chunks"] = "SELECT event_id, value * 2 AS twice FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'"
+
+# -- running aggregates of all rows, and of keys of many rows, split over tasks --------------------------------
+piped(
+    "streamstats_whole",
+    "* | streamstats sum(value) as s, max(value) as m, count(eval(event_type=\"view\")) as n, last(event_type) as l | eval s=round(s,2) | table event_id s m n l",
+    "SELECT event_id, round(sum(value) OVER w, 2) AS s, max(value) OVER w AS m, count(*) FILTER (event_type = 'view') OVER w AS n, event_type AS l FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
+)
+built(
+    "streamstats_split",
+    lambda s, d: events_engine(s, d, now=NOW, split_keys=True).run("* | eval half=if(user_id<75,\"low\",user_id) | streamstats current=false avg(value) as a, first(event_id) as f by half | eval a=round(a,4) | table event_id a f"),
+    "SELECT event_id, round(avg(value) OVER w, 4) AS a, first_value(event_id) OVER w AS f FROM events WINDOW w AS (PARTITION BY CASE WHEN user_id < 75 THEN 'low' ELSE CAST(user_id AS VARCHAR) END ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+)
