@@ -222,6 +222,6 @@ piped(
 )
 built(
     "streamstats_split",
-    lambda s, d: events_engine(s, d, now=NOW, split_keys=True).run("* | eval half=if(user_id<75,\"low\",user_id) | streamstats current=false avg(value) as a, first(event_id) as f by half | eval a=round(a,4) | table event_id a f"),
-    "SELECT event_id, round(avg(value) OVER w, 4) AS a, first_value(event_id) OVER w AS f FROM events WINDOW w AS (PARTITION BY CASE WHEN user_id < 75 THEN 'low' ELSE CAST(user_id AS VARCHAR) END ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    lambda s, d: events_engine(s, d, now=NOW, split_keys=True).run("* | eval half=if(user_id<75,\"low\",user_id) | streamstats current=false sum(value) as a, first(event_id) as f by half | eval a=round(a,2) | table event_id a f"),
+    "SELECT event_id, round(sum(value) OVER w, 2) AS a, first_value(event_id) OVER w AS f FROM events WINDOW w AS (PARTITION BY CASE WHEN user_id < 75 THEN 'low' ELSE CAST(user_id AS VARCHAR) END ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
 )

@@ -79,3 +79,37 @@ def test_guarded_sql_runs(spark):
     assert sql.guarded(spark, "SELECT ';' AS a -- DROP\n").first()[0] == ";"
     assert sql.guarded(spark, "SELECT `a b` FROM (SELECT 'x''y -- /* ' AS `a b`) /* drop ; */").first()[0] == "x'y -- /* "
     assert sql.guarded(spark, "SELECT id FROM range(20000)").count() == 20_000
+
+
+IDENT = ["SELECT IDENTIFIER('java_method')('java.lang.System','getProperty','user.home')", "SELECT count(*) FROM IDENTIFIER('parquet.`/path`')", "SELECT count(*) FROM IDENTIFIER('par' || 'quet.`/path`')"]
+
+
+@pytest.mark.parametrize("text", [
+    *IDENT, "SELECT * FROM (SELECT * FROM parquet.`/etc`)", "SELECT 1 WHERE EXISTS (SELECT * FROM csv.`/etc/passwd`)", "SELECT (SELECT max(value) FROM text.`/etc/passwd`)", "SELECT 1 IN (SELECT 1 FROM json.`/x`)",
+    "WITH a AS (SELECT * FROM orc.`/x`) SELECT * FROM a", "SELECT * FROM read_files('/etc')", "SELECT * FROM guarded_events, LATERAL (SELECT * FROM text.`/etc/passwd`)", "SELECT input_file_name() FROM guarded_events",
+    "SELECT transform(array(1), x -> reflect('java.lang.System', 'nanoTime'))", "SELECT system.builtin.java_method('a','b')", "SELECT other.f(1)", "SELECT mine(1)", "SELECT current_user()", "SELECT raise_error('x')",
+    "SELECT TRANSFORM (a) USING 'cat' AS b FROM guarded_events", "FROM guarded_events INSERT OVERWRITE DIRECTORY '/tmp/x' SELECT *", "SHOW TABLES", "EXPLAIN SELECT 1", "SET a=1", "CACHE TABLE x AS SELECT 1", "SELECT * FROM nothing_there", "SELECT :a", "SELECT", "",
+    "SELECT * FROM guarded_events ORDER BY try_reflect('a','b')", "SELECT * FROM guarded_events JOIN parquet.`/x` USING (a)", "SELECT sum(a) OVER (ORDER BY java_method('a','b')) FROM guarded_events", "SELECT * FROM python_worker_logs()", "SELECT * FROM sql_keywords()",
+])
+def test_guard_reads_what_would_run(spark, text):
+    spark.createDataFrame([(1, "x")], "a int, b string").createOrReplaceTempView("guarded_events")
+    spark.udf.register("mine", lambda x: x)
+    with pytest.raises(QueryError):
+        sql.guarded(spark, text)
+
+
+def test_guard_lets_queries_through(spark):
+    spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "a int, b string").createOrReplaceTempView("guarded_events")
+    for text, n in {
+        "WITH t AS (SELECT a, count(*) AS n FROM guarded_events GROUP BY a HAVING count(*) > 0), u AS (SELECT * FROM t) SELECT u.a, rank() OVER (ORDER BY n DESC) AS r FROM u JOIN guarded_events e ON e.a = u.a WHERE e.b IN (SELECT b FROM guarded_events) ORDER BY 1 LIMIT 5": 3,
+        "SELECT a FROM guarded_events UNION ALL SELECT a FROM guarded_events EXCEPT SELECT 1": 1,
+        "SELECT x FROM guarded_events LATERAL VIEW explode(array(1, 2)) t AS x": 6,
+        "SELECT * FROM guarded_events PIVOT (count(a) FOR b IN ('x', 'y'))": 1,
+        "SELECT CASE WHEN a > 1 THEN upper(b) ELSE coalesce(b, 'n') END AS c, sha2(b, 256), date_trunc('day', timestamp '2024-01-01') FROM guarded_events": 3,
+        "SELECT percentile_approx(a, 0.5), approx_count_distinct(b), max_by(b, a), collect_set(b) FROM guarded_events": 1,
+        "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS t(k, v)": 2,
+        "SELECT filter(array(a, 2), x -> x > 1), get_json_object('{\"k\": 1}', '$.k'), from_json('{}', 'k INT'), b LIKE 'x%', b RLIKE 'y', a BETWEEN 1 AND 2, a DIV 2, -a FROM guarded_events": 3,
+        "SELECT e.* FROM guarded_events e WHERE EXISTS (SELECT 1 FROM guarded_events f WHERE f.a = e.a AND f.b > e.b)": 1,
+    }.items():
+        assert sql.guarded(spark, text).count() == n, text
+    assert sql.page(spark, "SELECT id FROM range(30) ORDER BY id", 10, 25).count() == 5 and sql.page(spark, "SELECT id FROM range(20000)").count() == 10_000
