@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from rivulet.plans.profile import EVENTS, LOGS, METRICS, SPANS
 from rivulet.queries import NOW, ORACLE, QUERIES, _metrics, _spans
 from rivulet.sources import ingest
 from rivulet.sources.scratch import folder
-from rivulet.streaming import keyed, rollups, summaries
+from rivulet.streaming import keyed, rollups, rules, summaries
 from rivulet.streaming.firstseen import FirstSeen
 from rivulet.streaming.ledger import Ledger
 from rivulet.streaming.rules import Rule, realtime
@@ -263,3 +263,38 @@ def ingest_otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, bad = ingest.spans(bodies)
     cols = ["trace_id", "span_id", "start_time", "duration_ns", "service_name", "span_name", "status_code"]
     return rows.select(*cols, F.col("attributes")["k"].alias("k")).unionByName(bad.select("reason"), allowMissingColumns=True)
+
+
+def _risk_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """Findings of a scheduled rule and signals of a real-time one as datasets."""
+    end = datetime(2024, 1, 31)
+    engine = events_engine(spark, sf_dir, now=end)
+    found = rules.findings(engine, Rule("errors", "event_type=error value>50", lookback="31d", score=10, entity="user_id"), end)
+    st = engine.compile(rules.parse("event_type=purchase value>150"), None, datetime(2024, 1, 1), end)
+    return Engine(spark, rules.datasets(found, rules.findings_of(st, Rule("buys", "", score=30, entity="user_id")), end), now=end)
+
+
+_FOUND = "(SELECT CAST(user_id AS VARCHAR) AS e, ts, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3.6e9 AS h FROM events WHERE event_type = 'error' AND value > 50 AND ts >= TIMESTAMP '2023-12-31' AND ts < TIMESTAMP '2024-01-31')"
+
+
+@with_sql(
+    f"""
+SELECT e AS entity, CAST(round(sum(CASE WHEN h < 24 THEN 10.0 ELSE 0 END)) AS BIGINT) AS risk_24h, CAST(round(sum(10 * CASE WHEN h < 24 THEN 1.0 WHEN h < 72 THEN 0.7 WHEN h < 120 THEN 0.4 ELSE 0.2 END)) AS BIGINT) AS risk_7d, max(ts) AS last_finding_at, count(*) AS finding_count
+FROM {_FOUND} WHERE h < 168 GROUP BY 1 HAVING risk_7d >= 10
+"""
+)
+def risk_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities at risk, by a query of the dataset over a quarter of an hour, which changes nothing."""
+    end = datetime(2024, 1, 31)
+    return _risk_engine(spark, sf_dir).run("dataset=risk risk_7d>=10 | table entity risk_24h risk_7d last_finding_at finding_count", end - timedelta(minutes=15), end)
+
+
+@with_sql(
+    f"""
+SELECT 'scheduled' AS kind, 'errors' AS rule_name, count(*) AS count, count(DISTINCT e) AS entities FROM {_FOUND} WHERE ts >= TIMESTAMP '2024-01-10'
+UNION ALL SELECT 'realtime', 'buys', count(*), count(DISTINCT user_id) FROM events WHERE event_type = 'purchase' AND value > 150 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-31'
+"""
+)
+def signals_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of both kinds of rules in three weeks."""
+    return _risk_engine(spark, sf_dir).run("dataset=signals | stats count, dc(entity) as entities by kind rule_name", datetime(2024, 1, 10), datetime(2024, 1, 31))

@@ -13,6 +13,7 @@ from rivulet.engine import Engine
 from rivulet.plans import times
 from rivulet.plans.errors import UnsupportedQuery
 from rivulet.plans.parser import parse
+from rivulet.plans.profile import RISK, SIGNALS
 from rivulet.streaming import cron as schedule
 
 #: Weight of a finding by its age in hours: (below, weight); older ones weigh nothing.
@@ -67,9 +68,16 @@ def findings(engine: Engine, rule: Rule, end: datetime) -> DataFrame:
 
 
 def bounded(df: DataFrame, most: int = MATCHES) -> DataFrame:
-    """The newest matches, and the newest of every entity, so that no entity is dropped."""
-    newest = df.withColumn("__n", F.row_number().over(W.partitionBy("rule", "entity").orderBy(F.desc("timestamp"), F.desc("score")))).filter("__n = 1").drop("__n")
-    return df.orderBy(F.desc("timestamp"), "entity").limit(most).union(newest).dropDuplicates(["rule", "entity", "score", "timestamp"])
+    """The newest matches, and the newest of every entity, so that no entity is dropped. Matches that are equal in all
+    columns count one by one."""
+    each = W.partitionBy("rule", "entity").orderBy(F.desc("timestamp"), F.desc("score"))
+    ranked = df.withColumn("__n", F.row_number().over(each))
+    newest = df.orderBy(F.desc("timestamp"), "entity", F.desc("score")).limit(most)
+    # How many of an entity's matches are among the newest: these are its first ones, and at least one stays.
+    kept = newest.groupBy("rule", "entity").agg(F.count("*").alias("__kept")).toDF("__rule", "__entity", "__kept")  # at most `most` rows
+    on = F.col("rule").eqNullSafe(F.col("__rule")) & F.col("entity").eqNullSafe(F.col("__entity"))
+    met = ranked.join(F.broadcast(kept), on, "left")
+    return met.filter(F.col("__n") <= F.greatest(F.coalesce("__kept", F.lit(1)), F.lit(1))).select(*df.columns)
 
 
 def alerts(new: DataFrame, earlier: DataFrame, cooldown: float) -> DataFrame:
@@ -99,6 +107,15 @@ def signals(realtime: DataFrame, scheduled: DataFrame) -> DataFrame:
     return a.unionByName(scheduled.select(F.col("rule").alias("rule_name"), "entity", "score", "timestamp", F.lit("scheduled").alias("kind")))
 
 
+def datasets(found: DataFrame, realtime: DataFrame | None = None, now: datetime | None = None) -> dict:
+    """The datasets `risk` and `signals` for an engine: found, the findings of scheduled rules; realtime, signals of
+    real-time ones. The times of a query do not reach into risk, which looks back from now by itself, so that it is the
+    same for any range; signals are events like others."""
+    at = lambda: F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    none = found.limit(0)
+    return {"risk": (lambda: risk(found, at()), RISK), "signals": (lambda: signals(none if realtime is None else realtime, found), SIGNALS)}
+
+
 def realtime(engine: Engine, rule: Rule, stream: DataFrame, profile, window: str | None = None) -> DataFrame:
     """The signals of a stream of events: row by row, so joins and aggregates are refused. With a window, one signal for
     each entity in it."""

@@ -132,3 +132,29 @@ def test_engine_reads_a_rollup_where_it_answers(spark):
     for text in ("* | stats sum(value) as s", "service=s* | stats avg(value) as a", "* | stats avg(value) as a by unit", "value>3 | stats avg(value) as a", "* | eval x=1 | stats avg(value) as a", "* | timechart span=30s avg(value) as a"):
         assert not routed(text), text
     assert tell.run("* | stats sum(value) as s", T0, end).first().s == raw.agg(F.sum("value")).first()[0]
+
+
+def test_bounded_counts_equal_matches(spark):
+    """Three matches of one instant are three, whether they are among the newest or not."""
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [("r", "a", 5, at(9))] * 3 + [("r", "b", 5, at(8))] * 2 + [("r", "c", 5, at(1))] * 2 + [("r", None, 5, at(0))] + [("r", "a", 5, at(2))]
+    df = spark.createDataFrame(rows, "rule string, entity string, score int, timestamp timestamp")
+    got = lambda n: sorted((str(r.entity), (r.timestamp - T0).total_seconds() / 60) for r in rules.bounded(df, n).collect())
+    assert got(4) == [("None", 0), ("a", 9), ("a", 9), ("a", 9), ("b", 8), ("c", 1)]
+    assert len(got(100)) == 9 and got(1) == [("None", 0), ("a", 9), ("b", 8), ("c", 1)]
+
+
+def test_risk_and_signals_are_datasets(spark):
+    """Any range of a query gives the same risk; signals keep to it."""
+    rows = [("r1", "a", 100, T0 - timedelta(hours=1)), ("r2", "a", 10, T0 - timedelta(hours=30)), ("r1", "b", 40, T0 - timedelta(hours=100)), ("r1", "c", 40, T0 - timedelta(hours=200))]
+    schema = "rule string, entity string, score int, timestamp timestamp"
+    live = spark.createDataFrame([("live", "a", 70, T0 - timedelta(minutes=5))], schema)
+    e = Engine(spark, rules.datasets(spark.createDataFrame(rows, schema), live, T0), now=T0)
+    text = "dataset=risk risk_7d>5 | table entity risk_24h risk_7d rule_count"
+    wide = sorted(map(tuple, e.run(text, T0 - timedelta(days=30), T0).collect()))
+    assert wide == sorted(map(tuple, e.run(text, T0 - timedelta(minutes=15), T0).collect())) == [("a", 100, 107, 2), ("b", 0, 16, 1)]
+    count = lambda start: {(r.kind, r.rule_name): r["count"] for r in e.run("dataset=signals | stats count by kind rule_name", start, T0).collect()}
+    assert count(T0 - timedelta(hours=2)) == {("realtime", "live"): 1, ("scheduled", "r1"): 1}
+    assert count(T0 - timedelta(days=30)) == {("realtime", "live"): 1, ("scheduled", "r1"): 3, ("scheduled", "r2"): 1}
+    with pytest.raises(QueryError):
+        e.run("dataset=risk | risk score=5 entity=entity")
