@@ -166,3 +166,17 @@ def test_toxicity_logits_by_a_plain_loop():
     batch = model.logits([toxicity.words_of(t) for t in texts])
     assert np.allclose(batch, [plain(t) for t in texts], atol=1e-3)
     assert np.mean((model.scores([t for t, _ in rows]) >= toxicity.CUT) == [y == 1 for _, y in rows]) > 0.9
+
+
+def test_toxicity_sample_holds_distinct_texts(spark, monkeypatch):
+    """A labelled id that most rows share is one training row; bytes are bounded, with a text of each label at least."""
+    docs = spark.range(20_000).selectExpr("IF(id < 19980, 5L, id - 19980) AS doc_id", "concat('text ', IF(id < 19980, 5L, id - 19980)) AS text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 2, "doc_id long, label int")
+    got = toxicity.sample(docs, labels, "doc_id", "text", "label")
+    assert sorted((t, y) for _, t, y in got) == sorted((f"text {i}", i % 2) for i in range(20))
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 60)
+    few = toxicity.sample(docs, labels, "doc_id", "text", "label")
+    assert {y for _, _, y in few} == {0, 1} and sum(len(t) for _, t, _ in few) <= 60 and set(few) <= set(got)
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 1)
+    assert len(toxicity.sample(docs, labels, "doc_id", "text", "label")) == 2
+    assert toxicity.sample(docs.limit(0), labels, "doc_id", "text", "label") == []
