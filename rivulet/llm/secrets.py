@@ -8,7 +8,8 @@ character class, unless it is on the allow-list or overlaps a span of the patter
 
 Spans are places in code points, the end exclusive. Matches lie between marks that regexp_replace sets; the mark's
 own code point is first exchanged for another in the text, which moves nothing. Null and empty texts have no spans;
-texts are scanned whole, whatever their length; rows may repeat.
+texts are scanned whole, whatever their length; rows may repeat. An empty table gives an empty one; columns that are not
+kept are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS, HEX = r"(AKIA[A-Z0-9]{16,})", r"([0-9a-f]{24,})"
 LEAST, WINDOW = 20, 20
+#: Bits of a character's count, which is at most WINDOW, and counts in a whole number.
+BITS, PACKED = 5, 12
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 CANDIDATE = rf"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{LEAST},}})"
 #: (name, pattern of the whole candidate, bits of entropy in a window from which it is a secret); the first that fits.
@@ -55,22 +58,24 @@ def _c_log_c(c: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """The largest Shannon entropy, in bits, of WINDOW characters in a row; 0 for fewer. Characters outside ALPHABET
-    count as one."""
-    places = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"),
-        F.lit(0.0).alias("sum"),
-        F.lit(0).alias("n"),
-        F.lit(0.0).alias("best"),
-        places.alias("places"),
-    )
+    count as one. The counts of the window lie in a few whole numbers, of BITS bits for each character; a step changes
+    two of them, and the sum of c log c by what these two add to it."""
+    letter = lambda c: F.instr(F.lit(ALPHABET), c)
+    place = lambda k: F.struct((F.call_function("div", k, F.lit(PACKED))).cast("int").alias("word"), (k % PACKED * BITS).cast("int").alias("shift"))
+    places = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: place(letter(c)))
+    words = F.array_repeat(F.lit(0).cast("bigint"), -(-(len(ALPHABET) + 1) // PACKED))
+    start = F.struct(words.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0.0).alias("best"), places.alias("places"))
+    one = lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), p["shift"])
+    held = lambda counts, p: F.call_function("shiftright", F.get(counts, p["word"]), p["shift"]).bitwiseAND(F.lit((1 << BITS) - 1))
 
     def step(acc: Column, new: Column) -> Column:
         full = acc["n"] >= WINDOW
-        old = F.when(full, F.get(acc["places"], acc["n"] - WINDOW)).otherwise(-1)
-        moved = F.transform(acc["counts"], lambda c, i: c + F.when(i == new, 1).otherwise(0) - F.when(i == old, 1).otherwise(0))
-        a, b = F.get(acc["counts"], new), F.get(acc["counts"], old)
-        change = F.when(old == new, 0.0).otherwise(_c_log_c(a + 1) - _c_log_c(a) + F.when(full, _c_log_c(b - 1) - _c_log_c(b)).otherwise(0.0))
+        old = F.when(full, F.get(acc["places"], acc["n"] - WINDOW))
+        here = lambda p, i: F.when(p["word"] == i, one(p)).otherwise(F.lit(0).cast("bigint"))
+        moved = F.transform(acc["counts"], lambda c, i: c + here(new, i) - here(old, i))
+        a, b = held(acc["counts"], new), held(acc["counts"], old)
+        same = full & (old == new)
+        change = F.when(same, 0.0).otherwise(_c_log_c(a + 1) - _c_log_c(a) + F.when(full, _c_log_c(b - 1) - _c_log_c(b)).otherwise(0.0))
         total = acc["sum"] + change
         bits = F.when(acc["n"] + 1 >= WINDOW, F.log2(F.lit(float(WINDOW))) - total / WINDOW).otherwise(0.0)
         return F.struct(moved.alias("counts"), total.alias("sum"), (acc["n"] + 1).alias("n"), F.greatest(acc["best"], bits).alias("best"), acc["places"].alias("places"))

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -60,7 +61,9 @@ def test_added_spans(spark):
 
 
 def test_entropy_as_brute_force(spark):
-    texts = ["aB3dE5fG7hI9jK1lM3nO5pQ7", "a" * 30, "abcabcabcabcabcabcabcabcabc12345XYZ", "short", "ünïcödé" * 5 + "1234567890"]
+    rng = random.Random(3)
+    mixed = ["".join(rng.choice(rng.choice((secrets.ALPHABET, "ab1", "\u00e9x", secrets.ALPHABET[-9:]))) for _ in range(rng.randrange(15, 90))) for _ in range(60)]
+    texts = mixed + ["aB3dE5fG7hI9jK1lM3nO5pQ7", "a" * 30, "abcabcabcabcabcabcabcabcabc12345XYZ", "short", "ünïcödé" * 5 + "1234567890"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.e for r in df.select("i", secrets.entropy(F.col("t")).alias("e")).orderBy("i").collect()]
     assert all(abs(a - brute_entropy(b)) < 1e-9 for a, b in zip(got, texts))
@@ -71,3 +74,26 @@ def test_redaction_and_empty_table(spark):
     out = secrets.scan(df, ["doc_id", "text"]).select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t"))
     assert {r.doc_id: r.t for r in out.collect()} == {1: "a [REDACTED] b", 2: "clean", 3: None}
     assert secrets.scan(df.limit(0), ["doc_id"]).collect() == []
+
+
+def brute_added(text):
+    """Candidates outside the base spans whose best window reaches its class, by the pattern and a plain count."""
+    text = text or ""
+    base = [tuple(map(int, x.split(":")[1:])) for x in filter(None, brute_base(text).split(","))]
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        bits = next(b for _, p, b in secrets.CLASSES if re.search(p, m[0]))
+        if not re.search(secrets.ALLOW, m[0]) and brute_entropy(m[0]) >= bits and not any(a < m.end() and m.start() < b for a, b in base):
+            out.append(f"entropy:{m.start()}:{m.end()}")
+    return out
+
+
+def test_candidates_as_brute_force(spark):
+    """A table of texts with candidates of all classes, at and about the thresholds, inside and outside base spans."""
+    rng = random.Random(5)
+    kinds = ["0123456789abcdef", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", secrets.ALPHABET, "abcd1", "aB1"]
+    token = lambda: "".join(rng.choice(rng.choice(kinds)[: rng.choice((4, 9, 99))]) for _ in range(rng.randrange(18, 60)))
+    texts = [" ".join(rng.choice((token(), token(), "word", "password=" + token(), "\U0001f642", "example-" + token())) for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    got = [[x for x in s.split(",") if x.startswith("entropy")] for _, s in run(spark, texts)]
+    want = [brute_added(t) for t in texts]
+    assert got == want and sum(map(len, want)) > 30 and sum(map(len, want)) < sum(len(re.findall(secrets.CANDIDATE, t)) for t in texts)
