@@ -32,8 +32,8 @@ IOC_CAP = 50_000
 class Engine:
     """datasets: name to (frame or factory, profile); `logs` is the default. lookups: name to frame or factory. sinks:
     name to a function of a frame. ai: a function of a frame and a prompt. folders: where files may be looked up.
-    rollups: dataset of metrics to its rollups, name (1m, 1h) to frame or factory of partial rows; other datasets to a
-    Summary with its table. first_seen: name of a profile to its ledger of first sightings, which baselines read.
+    rollups: dataset of metrics to its rollups, name (1m, 1h) to frame or factory of partial rows; of spans to its own by
+    service and minute, named red; other datasets to a Summary with its table. first_seen: name of a profile to its ledger of first sightings, which baselines read.
     trace_index: frame or factory of trace_id, start, end, from which a trace's place in time is read. split_keys: whether
     running aggregates by key split keys of many rows over tasks, at the cost of two more passes over their columns."""
 
@@ -115,6 +115,10 @@ class Engine:
             if not levels.answers(q, self.datasets[name][1]):
                 return None
             table = levels.table
+        elif "red" in levels:
+            if not rollups.asks_services(q):
+                return None
+            width, table, make, profile = 60, levels["red"], rollups.red_partials, rollups.RED
         else:
             level = rollups.routed(q, (end - start).total_seconds())
             if level not in levels:

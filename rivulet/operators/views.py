@@ -223,6 +223,10 @@ def red(df, keys: list[Column]):
 
 
 def services(st: State, a: dict) -> State:
+    if st.profile.name == "spans_red":
+        from rivulet.streaming.rollups import red_view
+
+        return st.rows(red_view(st.df), order=(("requests", True),))
     return st.rows(red(st.df, [F.col("service_name")]), order=(("requests", True),))
 
 

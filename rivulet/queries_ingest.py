@@ -298,3 +298,20 @@ UNION ALL SELECT 'realtime', 'buys', count(*), count(DISTINCT user_id) FROM even
 def signals_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of both kinds of rules in three weeks."""
     return _risk_engine(spark, sf_dir).run("dataset=signals | stats count, dc(entity) as entities by kind rule_name", datetime(2024, 1, 10), datetime(2024, 1, 31))
+
+
+@with_sql(
+    """
+SELECT 'svc-' || user_id % 5 AS service_name, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') * 1.0 / count(*), 6) AS error_rate, true AS near
+FROM events WHERE ts >= TIMESTAMP '2024-01-02 03:04:05' AND ts < TIMESTAMP '2024-01-28 17:40:30' GROUP BY 1
+"""
+)
+def services_rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of services over weeks from partial rows by minute: exact counts, quantiles near those of the spans."""
+    start, end = datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 28, 17, 40, 30)
+    spans = _spans(spark, sf_dir)
+    halves = [rollups.red_partials(spans.filter(F.pmod(F.xxhash64("span_id"), F.lit(2)) == k)) for k in (0, 1)]
+    told, plain = (Engine(spark, {"spans": (spans, SPANS)}, default="spans", now=NOW, rollups=r).run("| services", start, end) for r in ({"spans": {"red": halves[0].unionByName(halves[1])}}, None))
+    both = told.alias("a").join(plain.alias("b"), "service_name")
+    near = F.greatest(*[F.abs(F.col(f"a.{p}") - F.col(f"b.{p}")) for p in ("p50_ms", "p95_ms")]) <= 0.05 * F.col("b.p99_ms")
+    return both.select("service_name", "a.requests", "a.errors", F.round("a.error_rate", 6).alias("error_rate"), near.alias("near"))

@@ -170,6 +170,23 @@ def red_merge(partials: DataFrame, span: float) -> DataFrame:
     return merged.select("service_name", "bucket", "requests", "errors", *[F.kll_sketch_get_quantile_double("s", F.lit(p)).alias(f"p{round(p * 100)}_ms") for p in (0.5, 0.95, 0.99)])
 
 
+#: Partial rows of spans as a dataset.
+RED = Profile("spans_red", "bucket", (), {"service": "service_name", "_time": "bucket", "timestamp": "bucket"})
+
+
+def asks_services(q: Query) -> bool:
+    """Whether a query is the view of services, of all or of one by its name."""
+    name = lambda n: RED.aliases.get(n, n)
+    return len(q.stages) == 1 and q.stages[0].name == "services" and by_key(q.search, {"service_name"}, name) is not None
+
+
+def red_view(partials: DataFrame) -> DataFrame:
+    """The view of services from partial rows; quantiles are those of the merged sketches."""
+    merged = partials.groupBy("service_name").agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"), F.kll_merge_agg_double("duration_state").alias("s"))
+    quantiles = [F.kll_sketch_get_quantile_double("s", F.lit(p)).alias(f"p{round(p * 100)}_ms") for p in (0.5, 0.95, 0.99)]
+    return merged.select("service_name", "requests", "errors", (F.col("errors") / F.col("requests")).alias("error_rate"), *quantiles)
+
+
 def source_partials(df: DataFrame, source: str, time: str, span: float = 300) -> DataFrame:
     """Events by source and five minutes."""
     return df.groupBy(F.col(source).alias("source"), times.bucket(F.col(time), span).alias("bucket")).agg(F.count("*").alias("events"), F.max(time).alias("newest"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.engine import Engine
-from rivulet.plans.profile import LOGS, METRICS
+from rivulet.plans.profile import LOGS, METRICS, SPANS
 from rivulet.streaming import ledger, rollups, rules, summaries
 
 T0 = datetime(2026, 10, 1)
@@ -81,6 +81,24 @@ def test_samples_that_lie_in_each_other_are_read_raw(spark):
     assert routed and a == b
 
 
+def test_services_from_partial_rows(spark):
+    """Counts as from the spans, also at edges within a minute; quantiles close to theirs."""
+    rng = random.Random(6)
+    rows = [(f"s{rng.randrange(3)}", T0 + timedelta(seconds=i * 7.7), rng.randrange(10**6, 10**9), rng.choice(("OK", "OK", "ERROR"))) for i in range(3000)]
+    spans = spark.createDataFrame(rows, "service_name string, start_time timestamp, duration_ns long, status_code string").cache()
+    told, plain = (Engine(spark, {"spans": (spans, SPANS)}, default="spans", rollups=r) for r in ({"spans": {"red": rollups.red_partials(spans)}}, None))
+    for text in ("| services", "service=s1 | services"):
+        for start, end in ((T0, T0 + timedelta(days=1)), (T0 + timedelta(seconds=100), T0 + timedelta(hours=3, seconds=7))):
+            assert reads(told, text, start, end, "duration_state")
+            a, b = ({r.service_name: r for r in e.run(text, start, end).collect()} for e in (told, plain))
+            assert a.keys() == b.keys() and a
+            for k in a:
+                assert (a[k].requests, a[k].errors, a[k].error_rate) == (b[k].requests, b[k].errors, b[k].error_rate)
+                for p in ("p50_ms", "p95_ms", "p99_ms"):
+                    assert abs(a[k][p] - b[k][p]) <= 0.04 * 1000
+    assert not reads(told, "status=OK | services", T0, T0 + timedelta(days=1), "duration_state")
+
+
 # -- distinct counts ------------------------------------------------------------------------------------------
 SUMMARY = summaries.Summary(("action",), ("user", "src_ip"), "timestamp")
 
