@@ -9,7 +9,8 @@ fewer than FEW, all are in both parts. Windows of ORDER + 1 characters are count
 follow, and joined with the windows of the URLs to be scored; so nothing is left out and nothing of a size that grows
 reaches the driver. The threshold is calibrated on all held-out URLs, to GRAIN. Copies of a URL change nothing.
 Without URLs of both verdicts there are no models, and what no rule decides is allowed. A null URL, or one without
-://, has an empty host and path; a null or empty one scores 0. Markov and Ratio are the same models of short lists.
+://, has an empty host and path; a null or empty one scores 0. URLs are read whole, whatever their length; other columns are left
+out, whatever their names. Markov and Ratio are the same models of short lists.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 ORDER, FEW, GRAIN = 4, 50, 1e-4
 #: So many windows of ORDER + 1 characters are remembered with their log ratio in a list's Ratio.
 REMEMBER = 200_000
+#: So many of the most frequent windows meet the URLs by broadcast; any other has a smaller share of all windows than one in so many.
+OFTEN = 1024
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -120,12 +123,17 @@ class Tables:
     def scores(self, urls: DataFrame) -> DataFrame:
         """u and score of the distinct, non-empty URLs of column u."""
         rows = _windows(urls)
-        asked = materialise(rows.groupBy("w").agg(F.lit(1).alias("_")).select("w"))
+        counted = materialise(rows.groupBy("w").agg(F.count("*").alias("n")))
+        asked = counted.select("w")
         p = [F.lit(1 / 1024), F.lit(1 / 1024)]  # for a character never seen
         for k in range(ORDER + 1):
             grams = self.grams.filter(F.char_length("gram") == k + 1).select(F.col("gram").alias(f"g{k}"), *[F.col(f"n{v}").alias(f"n{v}_{k}") for v in (0, 1)])
             contexts = self.contexts.filter(F.char_length("context") == k).select(F.col("context").alias(f"c{k}"), *[F.col(f"{x}{v}").alias(f"{x}{v}_{k}") for x in "tk" for v in (0, 1)])
             asked = asked.withColumns({f"g{k}": _end("w", k + 1), f"c{k}": F.substring("w", ORDER + 1 - k, k)})
+            if k == 0:  # a row for each character at most, as have the contexts of one; one row for the empty context
+                grams = F.broadcast(grams)
+            if k <= 1:
+                contexts = F.broadcast(contexts)
             asked = asked.join(grams, f"g{k}", "left").join(contexts, f"c{k}", "left").drop(f"g{k}", f"c{k}")
             for v in (0, 1):
                 n, t, kinds = (F.coalesce(f"{x}{v}_{k}", F.lit(0)) for x in "ntk")
@@ -133,7 +141,11 @@ class Tables:
             asked = asked.select("w", *[p[v].alias(f"p{v}") for v in (0, 1)])
             p = [F.col("p0"), F.col("p1")]
         ratios = materialise(asked.select("w", F.log(p[0] / p[1]).alias("x")))
-        summed = rows.join(ratios, "w").groupBy("u").agg(F.sum("x").alias("x"))
+        # Windows that are in most URLs, as those of their beginnings are, meet their ratio where the URLs lie.
+        often = F.broadcast(counted.orderBy(F.desc("n"), "w").limit(OFTEN).select("w"))
+        near = rows.join(F.broadcast(ratios.join(often, "w", "left_semi")), "w")
+        rest = rows.join(often, "w", "left_anti").join(ratios, "w")
+        summed = near.unionByName(rest).groupBy("u").agg(F.sum("x").alias("x"))
         return summed.select("u", F.round(F.col("x") / F.char_length("u"), 10).alias("score"))  # sums come in any order
 
 

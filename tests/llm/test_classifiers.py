@@ -180,3 +180,15 @@ def test_toxicity_sample_holds_distinct_texts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MOST_BYTES", 1)
     assert len(toxicity.sample(docs, labels, "doc_id", "text", "label")) == 2
     assert toxicity.sample(docs.limit(0), labels, "doc_id", "text", "label") == []
+
+
+def test_url_windows_that_are_in_most_urls(spark, monkeypatch):
+    """The same scores whether frequent windows go to all tasks or none do; a very long URL, and other columns of such names."""
+    rows = [(i, f"https://a{i % 7}.com/{'x' * (i % 9)}/{i}", "w", 0) for i in range(60)] + [(100 + i, f"https://b{i % 5}.net/es/{i * 37}", "w", 0) for i in range(60)]
+    rows += [(200 + i, f"https://c{i}.org/{'y/' * (i % 4)}", "w", 0) for i in range(40)] + [(300, "https://long.org/" + "z" * 30_000, "w", 0), (301, None, "w", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, w string, n int")
+    got = []
+    for often in (1024, 3, 0):
+        monkeypatch.setattr(urls, "OFTEN", often)
+        got.append({r.page_id: (r.verdict, r.score) for r in urls.judge(df, ["page_id"], urls.learn(df)).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == 162 and len({s for _, s in got[0].values()}) > 20
