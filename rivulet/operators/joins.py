@@ -150,9 +150,13 @@ def resolve_identity(st: State, a: dict) -> State:
     ident = facts.select(F.col("ip").cast("string").alias("__ip"), F.col("observed_at").alias("__t"), F.lit(0).alias("__side"), F.struct(F.col("observed_at"), F.col("ip"), *[q(c) for c in cols]).alias("__id"), F.lit(None).cast(st.df.schema).alias("__row"))
     rows = st.df.select(ip.alias("__ip"), q(st.time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(ident.schema["__id"].dataType).alias("__id"), F.struct(*[q(c) for c in st.df.columns]).alias("__row"))
     w = W.partitionBy("__ip").orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0)
-    met = ident.unionByName(rows).withColumn("__last", F.last("__id", ignorenulls=True).over(w)).filter("__side = 1")
+    # Rows without an address have no identity, and stay where they are.
+    known, unknown = (x.filter(F.col("__ip").isNotNull()) for x in (ident, rows)), rows.filter(F.col("__ip").isNull())
+    both = reduce(DataFrame.unionByName, known)
+    met = both.withColumn("__last", F.last("__id", ignorenulls=True).over(w)).filter("__side = 1")
+    met = met.unionByName(unknown.withColumn("__last", F.col("__id")))
     out = {f"identity_{c}": F.col(f"__last.{c}") for c in ("observed_at", "ip", *cols)}
-    df = met.select("__row.*", *[F.when(F.col("__ip").isNotNull(), c).alias(n) for n, c in out.items()])
+    df = met.select("__row.*", *[c.alias(n) for n, c in out.items()])
     return st.to(df, created=st.created | set(out))
 
 
