@@ -120,33 +120,34 @@ class Enricher:
     def _small(self, name: str) -> bool:
         return self._look(f"small {name}", lambda: getattr(self, name).limit(SMALL + 1).count() <= SMALL)
 
-    def located(self, df: DataFrame, column: str, name: str) -> DataFrame:
+    def located(self, df: DataFrame, column: str, name: str, source: DataFrame) -> DataFrame:
         hi, lo = bits(q(column).cast("string"))
         lengths = self._look("lengths", lambda: sorted(r[0] for r in self.networks.select("length").distinct().collect()))
-        # The address in two columns, which no event has.
-        rows = df.withColumns({"hi": hi, "lo": lo}) if not {"hi", "lo"} & set(df.columns) else df.select(F.struct(*[q(c) for c in df.columns]).alias("__event"), hi.alias("hi"), lo.alias("lo"))
-        distinct = rows.filter("hi IS NOT NULL AND lo IS NOT NULL").groupBy("hi", "lo").agg(F.lit(1).alias("_")).select("hi", "lo")
-        found = longest(distinct, self.networks, lengths, self._small("networks")).select("hi", "lo", F.col("fact").alias("__fact"))
-        met = join_facts(rows, found, ["hi", "lo"])
-        kept = ["__event.*"] if "__event" in met.columns else [q(c) for c in df.columns]
-        return met.select(*kept, *[F.col(f"__fact.{f}").alias(f"enriched_{name}_{f}") for f in self.facts])
+        keys = ["__hi", "__lo"]
+        addresses = source.select(hi.alias("hi"), lo.alias("lo")).filter("hi IS NOT NULL AND lo IS NOT NULL")
+        distinct = addresses.groupBy("hi", "lo").agg(F.lit(1).alias("_")).select("hi", "lo")
+        found = longest(distinct, self.networks, lengths, self._small("networks")).select(F.col("hi").alias("__hi"), F.col("lo").alias("__lo"), F.col("fact").alias("__fact"))
+        met = join_facts(df.withColumns(dict(zip(keys, (hi, lo)))), found, keys, source=addresses.toDF(*keys))
+        return met.select(*[q(c) for c in df.columns], *[F.col(f"__fact.{f}").alias(f"enriched_{name}_{f}") for f in self.facts])
 
     def enrich(self, df: DataFrame) -> DataFrame:
-        """df with the columns of those fields that it has; a column of such a name that it brings along is replaced."""
+        """df with the columns of those fields that it has; a column of such a name that it brings along is replaced. What is
+        looked up is taken from df itself, so that df is read a few times for each field, whatever their number."""
         out = df
         if self.networks is not None:
             for column, name in self.addresses.items():
                 if column in df.columns:
                     out = out.drop(*[f"enriched_{name}_{f}" for f in self.facts])
-                    out = self.located(out, column, name)
+                    out = self.located(out, column, name, df)
         if self.indicators is None:
             return out
         met = []
         for column, name in self.artifacts.items():
             if column in df.columns:
-                out = out.drop(*[f"ioc_{name}_{f}" for f in THREAT]).withColumn("__value", F.lower(F.trim(q(column).cast("string"))))
+                value = F.lower(F.trim(q(column).cast("string"))).alias("__value")
+                out = out.drop(*[f"ioc_{name}_{f}" for f in THREAT]).withColumn("__value", value)
                 facts = self.indicators.toDF("__value", f"__threat_{name}")
-                out = join_facts(out, facts, ["__value"], self._small("indicators")).drop("__value")
+                out = join_facts(out, facts, ["__value"], self._small("indicators"), df.select(value)).drop("__value")
                 met.append(f"__threat_{name}")
         columns = {f"ioc_{m.removeprefix('__threat_')}_{f}": F.col(f"{m}.{f}") for m in met for f in THREAT}
         columns["ioc_matched"] = F.coalesce(*[F.when(F.col(m).isNotNull(), True) for m in met], F.lit(False))

@@ -67,7 +67,9 @@ def test_no_networks_and_clashing_names(spark):
     assert enrich.Enricher(nets(spark, []), facts=("country",)).enrich(df.limit(0)).collect() == []
 
 
-def test_indicators(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_indicators(spark, monkeypatch, small):
+    monkeypatch.setattr(enrich, "SMALL", 200_000 if small else 0)
     facts = spark.createDataFrame([("EVIL.example", "c2", "bot", 90, 1, False), ("evil.example", "c2", "bot2", 10, 2, False), ("1.2.3.4", "scan", None, 40, 1, False), ("gone.example", "c2", "bot", 99, 1, True), (None, "c2", "x", 1, 1, False), (" ", "c2", "x", 1, 1, False)], "indicator string, threat_type string, malware string, confidence int, updated int, deleted boolean")
     df = spark.createDataFrame([(1, "1.2.3.4", "Evil.Example"), (2, None, "gone.example"), (3, "5.6.7.8", None), (4, "1.2.3.4", "")], "id int, src_ip string, domain string")
     out = enrich.Enricher(indicators=enrich.indicator_table(facts, updated="updated", deleted="deleted")).enrich(df).orderBy("id").collect()
@@ -83,3 +85,18 @@ def test_frequent_keys_stay_where_they_are(spark):
     want = {r.id: (None if r.k is None else 1 if r.k == 7 else r.k * 2 if r.k % 3 == 0 else None) for r in rows.collect()}
     assert {r.id: r.v for r in out.collect()} == want
     assert out.count() == 10_000
+
+
+def test_events_are_read_a_few_times(spark, monkeypatch, tmp_path):
+    """Scans of the events grow with the number of fields, not as its power."""
+    monkeypatch.setattr(enrich, "SMALL", 0)
+    path = str(tmp_path / "ev")
+    spark.range(100).selectExpr("id", "concat('10.0.0.', id % 7) AS src_ip", "concat('10.0.1.', id % 9) AS dest_ip", "concat('d', id % 5) AS domain", "concat('h', id) AS file_hash").write.parquet(path)
+    threats = spark.createDataFrame([("d1", "c2", "bot", 9), ("10.0.0.3", "scan", "x", 5)], "indicator string, threat_type string, malware string, confidence int")
+    e = enrich.Enricher(nets(spark, [("10.0.0.0/24", "a", 1, False), ("10.0.1.4/30", "b", 1, False)]), enrich.indicator_table(threats), facts=("country",))
+    out = e.enrich(spark.read.parquet(path))
+    rows = out.collect()
+    assert sum(r.enriched_src_country == "a" for r in rows) == 100 and sum(r.enriched_dest_country == "b" for r in rows) == sum(4 <= i % 9 < 8 for i in range(100))
+    assert sum(r.ioc_matched for r in rows) == sum(i % 5 == 1 or i % 7 == 3 for i in range(100))
+    scans = out._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    assert scans <= 30
