@@ -9,6 +9,7 @@ from rivulet.queries import ORACLE, QUERIES
 _ERRORS = "SELECT i AS event_id, TIMESTAMP '2024-01-24 01:00:00' + i * INTERVAL 95 SECOND AS ts, i * i % 41 AS user_id, 'error' AS event_type, 60.0 AS value, '{}' AS props FROM range(6000) t(i)"
 CASES = {
     "risk_dataset": _ERRORS,
+    "signals_dataset": f"{_ERRORS} UNION ALL SELECT -i, TIMESTAMP '2024-01-20' + i * INTERVAL 1 MINUTE, i % 3, 'purchase', 160.0, '{{}}' FROM range(1, 9) t(i)",
 }
 
 
