@@ -7,9 +7,13 @@ from rivulet.queries import ORACLE, QUERIES
 
 #: Name to the events on which the query is run. Six thousand errors of a week: more than a bounded run of a rule keeps.
 _ERRORS = "SELECT i AS event_id, TIMESTAMP '2024-01-24 01:00:00' + i * INTERVAL 95 SECOND AS ts, i * i % 41 AS user_id, 'error' AS event_type, 60.0 AS value, '{}' AS props FROM range(6000) t(i)"
+#: Five thousand purchases of two days, and an entity whose alert of the second day falls within the hour of the first's.
+_PURCHASES = "SELECT i AS event_id, TIMESTAMP '2024-01-19' + i * INTERVAL 34 SECOND AS ts, i * i % 41 AS user_id, 'purchase' AS event_type, 61.0 AS value, '{}' AS props FROM range(5000) t(i)"
+_PURCHASES += " UNION ALL SELECT -i, TIMESTAMP '2024-01-19 23:45:00' + i * INTERVAL 10 MINUTE, 50, 'purchase', 61.0, '{}' FROM range(1, 3) t(i)"
 CASES = {
     "risk_dataset": _ERRORS,
     "signals_dataset": f"{_ERRORS} UNION ALL SELECT -i, TIMESTAMP '2024-01-20' + i * INTERVAL 1 MINUTE, i % 3, 'purchase', 160.0, '{{}}' FROM range(1, 9) t(i)",
+    "rule_alerts": _PURCHASES,
 }
 
 
