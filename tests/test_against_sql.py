@@ -14,6 +14,8 @@ CASES = {
     "risk_dataset": _ERRORS,
     "signals_dataset": f"{_ERRORS} UNION ALL SELECT -i, TIMESTAMP '2024-01-20' + i * INTERVAL 1 MINUTE, i % 3, 'purchase', 160.0, '{{}}' FROM range(1, 9) t(i)",
     "rule_alerts": _PURCHASES,
+    # One kind on 999 hosts, one on 1,000, one on three.
+    "prevalence_stage": "SELECT i AS event_id, TIMESTAMP '2024-01-02' + i * INTERVAL 1 MINUTE AS ts, i // 3 AS user_id, ['view', 'click', 'error'][1 + i % 3] AS event_type, 1.0 AS value, '{}' AS props FROM range(3000) t(i) WHERE i <> 3 AND (i % 3 < 2 OR i < 9)",
 }
 
 
