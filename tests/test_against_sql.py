@@ -16,6 +16,8 @@ CASES = {
     "rule_alerts": _PURCHASES,
     # One kind on 999 hosts, one on 1,000, one on three.
     "prevalence_stage": "SELECT i AS event_id, TIMESTAMP '2024-01-02' + i * INTERVAL 1 MINUTE AS ts, i // 3 AS user_id, ['view', 'click', 'error'][1 + i % 3] AS event_type, 1.0 AS value, '{}' AS props FROM range(3000) t(i) WHERE i <> 3 AND (i % 3 < 2 OR i < 9)",
+    # Users of 256 and more have no address, and so are in no network.
+    "eval_names_more": "SELECT i AS event_id, TIMESTAMP '2024-01-02' + i * INTERVAL 1 MINUTE AS ts, [5, 10, 127, 255, 256, 266, 383, 90000][1 + i % 8]::BIGINT AS user_id, ['view', 'click'][1 + i % 2] AS event_type, 1.0 AS value, '{\"k\": 3}' AS props FROM range(16) t(i)",
 }
 
 
